@@ -19,15 +19,16 @@ def heavy_keys(counts: DataFrame, keys: list[str], n: str, total: int, fraction:
     return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("__splits"))
 
 
-def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, spread: Column, how: str = "inner") -> DataFrame:
-    """Join ``rows`` with ``per_key`` (unique on ``keys``; ``n`` = rows of that key).
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, spread: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join ``rows`` with ``per_key`` (``n`` = the rows of its key in ``rows``).
 
     Rows of a hot key are spread over as many tasks as the key is times hotter than
     total/HOT_FRACTION, by ``spread`` (any column of ``rows`` that varies inside a key);
-    the single row of ``per_key`` is repeated once per task. Other keys are not touched.
+    the rows of ``per_key`` are repeated once per task. Other keys are not touched.
+    ``counts`` (one row per key, with ``n``) is needed where ``per_key`` repeats keys.
     """
     limit = max(1, total // HOT_FRACTION)
-    hot = F.broadcast(heavy_keys(per_key, keys, n, total))
+    hot = F.broadcast(heavy_keys(per_key if counts is None else counts, keys, n, total))
     left = (
         rows.join(hot, keys, "left")
         .withColumn("__salt", F.when(F.col("__splits").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("__splits").cast("bigint")).cast("int")))
