@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calembour.operators.layout import spread
+
 MIN_SUPPORT = 2
 SHARE = 20_000
 
@@ -215,7 +217,7 @@ def known_values(df: DataFrame, fields: list[str]) -> list[str]:
             found[""] = seen  # the empty value carries the number of fields
             yield pd.DataFrame({"value": list(found), "n": list(found.values())})
 
-    source = df.select(*(F.col(f).cast("string").alias(f) for f in fields))
+    source = spread(df.select(*(F.col(f).cast("string").alias(f) for f in fields)))
     counts = source.mapInPandas(quoted, "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
     seen = F.max(F.when(F.col("value") == "", F.col("n")))
     total = counts.agg(seen.alias("n")).first()["n"] or 0
@@ -225,7 +227,7 @@ def known_values(df: DataFrame, fields: list[str]) -> list[str]:
 def unpack_values(df: DataFrame, key: str, fields: list[str], dictionary: list[str] | None = None) -> DataFrame:
     """``key``, ``field_name``, ``pos`` (from 1), ``value``: one row per value. No shuffle beyond learning the dictionary."""
     values = known_values(df, fields) if dictionary is None else dictionary
-    source = df.select(F.col(key).alias("k"), *(F.col(f).cast("string").alias(f) for f in fields))
+    source = spread(df.select(F.col(key).alias("k"), *(F.col(f).cast("string").alias(f) for f in fields)))
     kind = source.schema["k"].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

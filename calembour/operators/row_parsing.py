@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour.functions.automata import Automaton, lay_out
+from calembour.operators.layout import spread
 
 FIELDS = ("id_en", "pun_word", "pun_type", "first_meaning", "second_meaning", "first_context", "chunk")
 LIST_FIELDS = (3, 4, 5)
@@ -160,7 +161,7 @@ def parse_batch(lines: list[str | None]) -> pd.DataFrame:
 
 def parse_records(df: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
     """``key``, the seven typed fields, ``reason`` and ``error_offset``; one row per input row, no shuffle."""
-    source = df.select(F.col(key).alias("k"), F.col(line).cast("string").alias("line"))
+    source = spread(df.select(F.col(key).alias("k"), F.col(line).cast("string").alias("line")))
     kind = source.schema["k"].dataType.simpleString()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
