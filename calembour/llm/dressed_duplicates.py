@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calembour.operators.skew import salted_join
+from calembour.session import checkpointed, ship
 
 #: Prime modulus of the fingerprint lanes: two residues add without overflow.
 PRIME = (1 << 61) - 1
@@ -61,6 +62,7 @@ def _value(pairs: Column, name: str) -> Column:
 
 def fingerprints(df: DataFrame, key: str, pairs: Column, names: list[str], required: str) -> DataFrame:
     """``id``, ``fields`` (normalised pairs), ``f1``, ``f2`` of every record that can have copies."""
+    ship(df.sparkSession)
     raw = df.select(F.col(key).alias("id"), pairs.alias("pairs"))
     wide = raw.select("id", *(F.coalesce(_value(F.col("pairs"), n), F.lit("")).alias(f"v{i}") for i, n in enumerate(names)))
     norm = wide.select("id", *(letters_and_digits(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(names))))
@@ -80,7 +82,8 @@ def _same_fields(a: Column, b: Column) -> Column:
 def copies(prints: DataFrame, total: int) -> DataFrame:
     """``keep_id``, ``dup_id``: every record beside its group's lowest id. ``total`` = rows behind ``prints``."""
     groups = prints.groupBy("f1", "f2").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = salted_join(prints, groups, ["f1", "f2"], "n", total, F.col("id"))
+    # written once: only the records that have a fingerprint in common with another
+    members = checkpointed(salted_join(prints, groups, ["f1", "f2"], "n", total, F.col("id")))
     keepers = members.where("id = keep_id").groupBy("f1", "f2", "keep_id", "n").agg(F.first("fields").alias("kept"))
     compared = salted_join(members.where("id <> keep_id").drop("keep_id", "n"), keepers, ["f1", "f2"], "n", total, F.col("id")).withColumn("same", _same_fields(F.col("fields"), F.col("kept")))
     verified = compared.where("same").select("keep_id", F.col("id").alias("dup_id"))
@@ -103,10 +106,11 @@ def record_copies(df: DataFrame, key: str, record: str, names: list[str], requir
 
 
 def collapsed(found: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """One row per distinct record: ``keep_id`` and ``copies`` (1 = it occurs once).
+    """One row per distinct record of ``df``: ``keep_id`` and ``copies`` (1 = it occurs once).
 
     Rows that cannot have copies (null, without letters and digits) stand for themselves.
     """
+    found = checkpointed(found)
     counted = found.groupBy("keep_id").agg(F.count(F.lit(1)).alias("more"))
     kept = df.select(F.col(key).alias("keep_id")).join(found.select(F.col("dup_id").alias("keep_id")), "keep_id", "left_anti")
     return kept.join(counted, "keep_id", "left").select("keep_id", (1 + F.coalesce("more", F.lit(0))).alias("copies"))

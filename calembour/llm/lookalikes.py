@@ -31,7 +31,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calembour.operators.layout import spread
 from calembour.operators.skew import salted_join
+from calembour.session import checkpointed, ship
 
 # Letters drawn alike, as Latin letter: Cyrillic letter, Greek letter, other Latin letters ('' = none).
 ALIKE = {
@@ -194,7 +196,7 @@ def bigram_counts(df: DataFrame, text: str) -> DataFrame:
                             seen[a + z] += n
         yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
 
-    return df.select(F.col(text).alias("t")).mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return spread(df.select(F.col(text).alias("t"))).mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def train(df: DataFrame, text: str) -> Scores:
@@ -217,6 +219,7 @@ def canonical_udf(scores: Scores):
 
 def one_form(df: DataFrame, text: str, scores: Scores | None = None, to: str = "canonical") -> DataFrame:
     """``df`` with the column ``to``: ``text`` in its one form."""
+    ship(df.sparkSession)
     return df.withColumn(to, canonical_udf(scores or train(df, text))(F.col(text).cast("string")))
 
 
@@ -231,8 +234,9 @@ def same_looking_pairs(df: DataFrame, key: str, text: str, scores: Scores | None
     expanded to rows, so a text that fills a third of the table is never compared with
     itself. Rows of such a class are spread over tasks.
     """
-    formed = one_form(df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")), "t", scores).where("canonical <> ''")
-    rows = formed.select("id", *_lanes(F.col("canonical"), "c"), *_lanes(F.col("t"), "t"))
+    formed = one_form(spread(df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))), "t", scores).where("canonical <> ''")
+    # five numbers a row, written once: the normalization is not repeated for each use
+    rows = checkpointed(formed.select("id", *_lanes(F.col("canonical"), "c"), *_lanes(F.col("t"), "t")))
     total = df.count()
     classes = rows.groupBy("c1", "c2", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     looks = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calembour.operators.layout import spread
+
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 TOKEN = re.compile(r"\S+")
 BULLET = re.compile(r"\s*(?:[-*•·–—▪◦+]\s+|\[[ xX✓]?\]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)]\s+)")
@@ -213,7 +215,7 @@ def quality(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: s
     ``common_words`` is a fixed table (a list of the commonest words of each language).
     """
     common = frozenset(r["word"].casefold() for r in common_words.select("word").where("word IS NOT NULL").distinct().toLocalIterator())
-    source = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    source = spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     kind = source.schema["k"].dataType.simpleString()
     schema = f"k {kind}, " + ", ".join(f"{n} {t}" for n, t in STATISTICS.items()) + ", kind string"
 

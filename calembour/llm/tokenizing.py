@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calembour.operators.layout import spread
+
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 #: How a byte-level BPE of this family cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,7 +191,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K, keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns ``keep`` and ``ids``: the token ids of ``text``; no shuffle."""
-    source = df.select(*(F.col(c) for c in (key, *keep)), F.col(text).cast("string").alias("__text"))
+    source = spread(df.select(*(F.col(c) for c in (key, *keep)), F.col(text).cast("string").alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
