@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT_FRACTION of all rows counts as hot, so there are fewer than HOT_FRACTION hot keys.
 HOT_FRACTION = 500
+#: Keys with fewer rows than this never count as hot, however small the table.
+HOT_LEAST = 20_000
 
 
-def heavy_keys(counts: DataFrame, keys: list[str], n: str, total: int, fraction: int = HOT_FRACTION) -> DataFrame:
-    """Keys of ``counts`` (one row per key, ``n`` its rows) above total/fraction, with ``__splits``.
+def hot_limit(total: int) -> int:
+    return max(HOT_LEAST, total // HOT_FRACTION)
 
-    At most ``fraction`` rows come out whatever the input's size, which is the proof
+
+def heavy_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Keys of ``counts`` (one row per key, ``n`` its rows) above the limit, with ``__splits``.
+
+    At most HOT_FRACTION rows come out whatever the input's size, which is the proof
     that broadcasting the result is safe.
     """
-    limit = max(1, total // fraction)
+    limit = hot_limit(total)
     return counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("__splits"))
 
 
@@ -27,7 +33,7 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, to
     the rows of ``per_key`` are repeated once per task. Other keys are not touched.
     ``counts`` (one row per key, with ``n``) is needed where ``per_key`` repeats keys.
     """
-    limit = max(1, total // HOT_FRACTION)
+    limit = hot_limit(total)
     hot = F.broadcast(heavy_keys(per_key if counts is None else counts, keys, n, total))
     left = (
         rows.join(hot, keys, "left")
