@@ -60,14 +60,19 @@ def _value(pairs: Column, name: str) -> Column:
     return F.try_element_at(F.filter(pairs, lambda p: p["name"] == name), F.lit(1))["value"]
 
 
+def _once(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its columns worked out once a row: the optimizer does not copy expressions through a generator."""
+    return df.select(key, F.inline(F.array(F.struct(*(c for c in df.columns if c != key)))))
+
+
 def fingerprints(df: DataFrame, key: str, pairs: Column, names: list[str], required: str) -> DataFrame:
     """``id``, ``fields`` (normalised pairs), ``f1``, ``f2`` of every record that can have copies."""
     ship(df.sparkSession)
-    raw = df.select(F.col(key).alias("id"), pairs.alias("pairs"))
-    wide = raw.select("id", *(F.coalesce(_value(F.col("pairs"), n), F.lit("")).alias(f"v{i}") for i, n in enumerate(names)))
+    raw = _once(df.withColumn("__pairs", pairs).select(F.col(key).alias("id"), F.col("__pairs").alias("pairs")), "id")
+    wide = _once(raw.select("id", *(F.coalesce(_value(F.col("pairs"), n), F.lit("")).alias(f"v{i}") for i, n in enumerate(names))), "id")
     norm = wide.select("id", *(letters_and_digits(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(names))))
     fields = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"v{i}").alias("value")) for i, n in enumerate(names)))
-    base = norm.where(F.col(f"v{names.index(required)}") != "").select("id", fields.alias("fields"))
+    base = _once(norm, "id").where(F.col(f"v{names.index(required)}") != "").select("id", fields.alias("fields"))
 
     def lane(seed: int) -> Column:
         return F.aggregate("fields", F.lit(0).cast("bigint"), lambda a, p: (a + F.pmod(F.xxhash64(F.lit(seed), p["name"], p["value"]), F.lit(PRIME))) % F.lit(PRIME))
@@ -85,11 +90,13 @@ def copies(prints: DataFrame, total: int) -> DataFrame:
     # written once: only the records that have a fingerprint in common with another
     members = checkpointed(salted_join(prints, groups, ["f1", "f2"], "n", total, F.col("id")))
     keepers = members.where("id = keep_id").groupBy("f1", "f2", "keep_id", "n").agg(F.first("fields").alias("kept"))
-    compared = salted_join(members.where("id <> keep_id").drop("keep_id", "n"), keepers, ["f1", "f2"], "n", total, F.col("id")).withColumn("same", _same_fields(F.col("fields"), F.col("kept")))
-    verified = compared.where("same").select("keep_id", F.col("id").alias("dup_id"))
-    # records whose fingerprint collides with another content: grouped once more, by content
     content = F.concat_ws("\x00", F.transform("fields", lambda p: F.concat_ws("=", p["name"], p["value"])))
-    strays = compared.where(~F.col("same")).select("id", "f1", "f2", content.alias("content"))
+    paired = salted_join(members.where("id <> keep_id").drop("keep_id", "n"), keepers, ["f1", "f2"], "n", total, F.col("id"))
+    # the content is kept only where the fingerprint lied
+    compared = checkpointed(paired.select("id", "keep_id", "f1", "f2", F.when(_same_fields(F.col("fields"), F.col("kept")), F.lit(None)).otherwise(content).alias("content")))
+    verified = compared.where("content IS NULL").select("keep_id", F.col("id").alias("dup_id"))
+    # records whose fingerprint collides with another content: grouped once more, by content
+    strays = compared.where("content IS NOT NULL").drop("keep_id")
     kept = strays.groupBy("f1", "f2", "content").agg(F.min("id").alias("keep_id"))
     collided = strays.join(kept, ["f1", "f2", "content"]).where("id <> keep_id").select("keep_id", F.col("id").alias("dup_id"))
     return verified.unionByName(collided)
