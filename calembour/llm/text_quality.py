@@ -41,6 +41,8 @@ GRAM = 4
 
 STATISTICS = {
     "n_words": "bigint",
+    "n_sentences": "bigint",
+    "n_items": "bigint",
     "mean_word_length": "double",
     "symbol_ratio": "double",
     "punctuated_lines": "double",
@@ -106,19 +108,19 @@ def is_item(line: str) -> bool:
     return len(words) <= (10 if m else 6)
 
 
-def run_together(text: str) -> bool:
-    """Short items on one line between separators."""
+def run_together(text: str) -> int:
+    """The number of short items on one line between separators; 0 if that is not what the line is."""
     for sep in (" · ", " • ", " | ", " / ", "; ", ", "):
         parts = [p.strip() for p in re.split(r"\s*" + re.escape(sep.strip()) + r"\s*", text)]
         if len(parts) >= 4:
             sizes = [len(p.split()) for p in parts]
             if sum(sizes) / len(sizes) <= 4.5 and max(sizes) <= 9 and not re.search(r"[.!?…]\s+\w", text):
-                return True
-    return False
+                return len(parts)
+    return 0
 
 
 def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
-    zero = dict.fromkeys(STATISTICS, 0.0) | {"n_words": 0}
+    zero = dict.fromkeys(STATISTICS, 0.0) | {"n_words": 0, "n_sentences": 0, "n_items": 0}
     if text is None or not text.strip():
         return zero
     t = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -135,7 +137,7 @@ def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
     row_chars = sum(len(x.strip()) for x, r in zip(lines, rows, strict=True) if r)
     # hard-wrapped lines belong together: a line that is long or does not end a sentence runs on
     blocks: list[str] = []
-    items = 0
+    items = n_items = 0
     flow = ""
     width = max(map(len, lines))
     for k, (x, r) in enumerate(zip(lines, rows, strict=True)):
@@ -146,6 +148,7 @@ def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
         elif (is_item(x) or (not TERMINAL.search(s) and run_together(s))) and not (flow and before_full):
             flow = flow and (blocks.append(flow) or "")
             items += len(s)
+            n_items += run_together(s) or 1
         elif BULLET.match(x) and not flow:
             blocks.append(BULLET.sub("", x, count=1).strip())
         else:
@@ -155,8 +158,9 @@ def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
     sentences: list[str] = []
     in_sentences = 0
     for b in blocks:
-        if not (TERMINAL.search(b) or SENTENCE.search(b)) and run_together(re.sub(r"^[^:]{0,40}:\s*", "", b)):
+        if not (TERMINAL.search(b) or SENTENCE.search(b)) and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
             items += len(b)
+            n_items += parts
             continue
         for m in SENTENCE.findall(b):
             n = len(WORD.findall(m))
@@ -170,6 +174,8 @@ def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
     doubled = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
     return {
         "n_words": len(words),
+        "n_sentences": len(sentences),
+        "n_items": n_items,
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
         "symbol_ratio": 1 - letters / visible if visible else 0.0,
         "punctuated_lines": sum(bool(TERMINAL.search(x.strip())) for x in lines) / len(lines),
@@ -200,6 +206,8 @@ def kind_of(text: str | None, s: dict[str, float]) -> str | None:
         return "junk"
     if s["duplicate_sentences"] > 0.8 or (s["top_gram_coverage"] > 0.6 and s["n_words"] > 12):
         return "junk"
+    if s["n_items"] > 3 * s["n_sentences"] and s["item_share"] >= 0.3:
+        return "list"
     if s["sentence_share"] >= 0.5:
         return "prose"
     if s["item_share"] >= 0.5:
