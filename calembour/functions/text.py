@@ -50,13 +50,21 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` names it.
+
+    Without this the steps of a long chain would be copied into each other.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Literal replacements one after the other."""
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
 def without_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1_000_000_000)).otherwise(text)
+    return let(text, lambda t: F.when(t.startswith(prefix), F.substring(t, len(prefix) + 1, 1_000_000_000)).otherwise(t))
 
 
 def words(text: Column) -> Column:
@@ -70,26 +78,30 @@ def lower_shouted_openings(text: Column) -> Column:
     Words of one or two letters are neither changed nor end the run, which ends at the
     first longer word that is not in capitals.
     """
-    w = words(text)
     upper = lambda x: (x == F.upper(x)) & (x != F.lower(x))
-    ends = F.transform(w, lambda x, i: (i > 0) & (F.length(x) > 2) & ~upper(x))
-    stop = F.coalesce(F.array_position(ends, True), F.lit(0))
-    lowered = F.transform(
-        w, lambda x, i: F.when(i == 0, F.lit("Old")).when((F.length(x) > 2) & ((stop == 0) | (i < stop - 1)), F.lower(x)).otherwise(x)
-    )
-    return F.array_join(F.when(F.get(w, F.lit(0)) == "OLD", lowered).otherwise(w), " ")
+
+    def end_of_run(w: Column) -> Column:
+        return F.coalesce(F.array_position(F.transform(w, lambda x, i: (i > 0) & (F.length(x) > 2) & ~upper(x)), True), F.lit(0))
+
+    def lowered(w: Column) -> Column:
+        one = lambda stop: F.transform(w, lambda x, i: F.when(i == 0, F.lit("Old")).when((F.length(x) > 2) & ((stop == 0) | (i < stop - 1)), F.lower(x)).otherwise(x))
+        return let(end_of_run(w), one)
+
+    return let(words(text), lambda w: F.array_join(F.when(F.get(w, F.lit(0)) == "OLD", lowered(w)).otherwise(w), " "))
 
 
 def plain_speech_tags(text: Column) -> Column:
     """Inverted speech tags put right; a rule applies only where the text as it came in has the tag."""
-    return reduce(lambda c, p: F.when(text.contains(p[0]), F.replace(c, F.lit(p[0]), F.lit(p[1]))).otherwise(c), INVERSIONS, text)
+    # replacing an empty search text changes nothing
+    return let(text, lambda t: reduce(lambda c, p: F.replace(c, F.when(t.contains(p[0]), F.lit(p[0])).otherwise(F.lit("")), F.lit(p[1])), INVERSIONS, t))
 
 
 def quoted_speech(text: Column) -> Column:
     """For each of , ! ? before `` Tom``: a quote at the beginning and one after the mark."""
-    return reduce(
-        lambda c, p: F.when(c.contains(f"{p} Tom"), F.concat(F.lit('"'), F.replace(c, F.lit(f"{p} Tom"), F.lit(f'{p}" Tom')))).otherwise(c), [",", "!", "?"], text
-    )
+    def one(c: Column, p: str) -> Column:
+        return let(c, lambda t: F.when(t.contains(f"{p} Tom"), F.concat(F.lit('"'), F.replace(t, F.lit(f"{p} Tom"), F.lit(f'{p}" Tom')))).otherwise(t))
+
+    return reduce(one, [",", "!", "?"], text)
 
 
 def pronouns(text: Column) -> Column:
@@ -111,8 +123,11 @@ def clean_text(text: Column) -> Column:
 
 def json_slice(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; null if there is no such stretch."""
-    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
-    return F.when((first > 0) & text.contains("}") & (last > first), F.substring(text, first, last - first + 1))
+    def cut(t: Column) -> Column:
+        first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        return F.when((first > 0) & t.contains("}") & (last > first), F.substring(t, first, last - first + 1))
+
+    return let(text, cut)
 
 
 @F.pandas_udf(StringType())

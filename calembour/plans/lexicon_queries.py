@@ -43,14 +43,14 @@ _UNIT = "WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM
 @query(_UNIT + """
 SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_inner_product(a.v, b.v) / (a.n * b.n), 6) AS score, CAST(row_number() OVER w AS INT) AS rank
 FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.vec_id)
+WINDOW w AS (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v) / (a.n * b.n), 9) DESC, b.vec_id) QUALIFY row_number() OVER w <= 5
 """)
 def vector_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return vector_search.top_k(e, e.where("vec_id % 50 = 0")).withColumn("score", F.round("score", 6))
 
 
-@query(_UNIT + "SELECT vec_id, round(list_inner_product(list_transform(v, x -> x / n), list_transform(v, x -> x / n)), 6) AS norm, round(v[1] * (vec_id % 7) / nullif(n * (vec_id % 7), 0), 6) AS head FROM n".replace("round(v[1] * (vec_id % 7) / nullif(n * (vec_id % 7), 0), 6)", "round(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE v[1] / n END, 6)"))
+@query(_UNIT + "SELECT vec_id, round(list_inner_product(list_transform(v, lambda x: x / n), list_transform(v, lambda x: x / n)), 6) AS norm, round(v[1] * (vec_id % 7) / nullif(n * (vec_id % 7), 0), 6) AS head FROM n".replace("round(v[1] * (vec_id % 7) / nullif(n * (vec_id % 7), 0), 6)", "round(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE v[1] / n END, 6)"))
 def l2_normalise(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 7))
@@ -103,8 +103,8 @@ def meaning_similarities(spark, sf_dir):
 # ---------------------------------------------------------------- sequences
 
 @query("""
-WITH c AS (SELECT rec_id, list_filter(string_split(lower(pun_word), ''), x -> x <> '') AS s FROM translated WHERE pun_word IS NOT NULL)
-SELECT rec_id, array_to_string(list_transform(list_concat(s, list_transform(range(0, 30), x -> '0'))[1:30], x -> CASE WHEN x BETWEEN 'a' AND 'z' THEN CAST(ascii(x) - 96 AS VARCHAR) ELSE '0' END), ',') AS ids FROM c
+WITH c AS (SELECT rec_id, list_filter(string_split(lower(pun_word), ''), lambda x: x <> '') AS s FROM translated WHERE pun_word IS NOT NULL)
+SELECT rec_id, array_to_string(list_transform(list_concat(s, list_transform(range(0, 30), lambda x: '0'))[1:30], lambda x: CASE WHEN x BETWEEN 'a' AND 'z' THEN CAST(ascii(x) - 96 AS VARCHAR) ELSE '0' END), ',') AS ids FROM c
 """)
 def padded_ids(spark, sf_dir):
     letters = F.filter(F.split(F.lower("pun_word"), ""), lambda x: x != "")
@@ -151,8 +151,8 @@ def _pairs(spark, sf_dir):
 
 @query(f"""
 WITH p AS ({_PAIRS_SQL}),
-g AS (SELECT a, b, list_distinct(list_transform(range(0, length(a) + 1), i -> CASE WHEN i = 0 THEN 'BEG' ELSE a[i] END || CASE WHEN i = length(a) THEN 'END' ELSE a[i + 1] END)) AS ga,
-  list_distinct(list_transform(range(0, length(b) + 1), i -> CASE WHEN i = 0 THEN 'BEG' ELSE b[i] END || CASE WHEN i = length(b) THEN 'END' ELSE b[i + 1] END)) AS gb FROM p)
+g AS (SELECT a, b, list_distinct(list_transform(range(0, length(a) + 1), lambda i: CASE WHEN i = 0 THEN 'BEG' ELSE a[i] END || CASE WHEN i = length(a) THEN 'END' ELSE a[i + 1] END)) AS ga,
+  list_distinct(list_transform(range(0, length(b) + 1), lambda i: CASE WHEN i = 0 THEN 'BEG' ELSE b[i] END || CASE WHEN i = length(b) THEN 'END' ELSE b[i + 1] END)) AS gb FROM p)
 SELECT a, b, round(len(list_intersect(ga, gb)) / CAST(len(list_distinct(list_concat(ga, gb))) AS DOUBLE), 6) AS similarity FROM g
 """)
 def bigram_jaccard(spark, sf_dir):
@@ -191,15 +191,15 @@ def _lexicon(spark, sf_dir):
 
 _LEXICON = """
 WITH t AS (SELECT ord, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM (SELECT ord, regexp_extract_all(lower(text_fr), '[a-z'']+') AS w FROM translation_fr)),
-f AS (SELECT word, min((ord, i)) AS at FROM t WHERE length(word) >= 3 GROUP BY word),
-l AS (SELECT word, regexp_replace(word, '[aeiouy'']', '', 'g') AS phon, at[1] * 1000 + at[2] AS ord FROM f),
+f AS (SELECT word, min((ord, i)) AS pos FROM t WHERE length(word) >= 3 GROUP BY word),
+l AS (SELECT word, regexp_replace(word, '[aeiouy'']', '', 'g') AS phon, pos[1] * 1000 + pos[2] AS ord FROM f),
 lex AS (SELECT * FROM l WHERE length(phon) >= 2)
 """
 
 
 @query(_LEXICON + """
 SELECT a.word, b.word AS homophone, CAST(row_number() OVER w AS INT) AS rank FROM lex a JOIN lex b ON a.phon = b.phon AND a.word <> b.word
-QUALIFY row_number() OVER w <= 30 WINDOW w AS (PARTITION BY a.word ORDER BY b.ord, b.word)
+WINDOW w AS (PARTITION BY a.word ORDER BY b.ord, b.word) QUALIFY row_number() OVER w <= 30
 """)
 def homophones(spark, sf_dir):
     return lexicon.homophones(_lexicon(spark, sf_dir))
@@ -294,7 +294,7 @@ def detected_puns(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT rec_id, lower(pun_word) AS pw, pun_word_fr AS p, list_filter(regexp_split_to_array(text_clean, '\\s+'), x -> x <> '') AS w FROM translated WHERE text_clean IS NOT NULL AND pun_word IS NOT NULL AND pun_word_fr IS NOT NULL),
+WITH w AS (SELECT rec_id, lower(pun_word) AS pw, pun_word_fr AS p, list_filter(regexp_split_to_array(text_clean, '\\s+'), lambda x: x <> '') AS w FROM translated WHERE text_clean IS NOT NULL AND pun_word IS NOT NULL AND pun_word_fr IS NOT NULL),
 b AS (SELECT rec_id, pw, p, i, regexp_replace(lower(w[i]), '[^\\p{L}\\p{N}_'']', '', 'g') AS bare FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)),
 d AS (SELECT lower(trim(pun_word)) AS en, min_by(lower(pun_word_fr), rec_id) AS fr FROM translated WHERE pun_word <> '' AND pun_word_fr <> '' GROUP BY 1)
 SELECT rec_id, string_agg(CASE WHEN bare = pw THEN p ELSE coalesce(fr, bare) END, ' ' ORDER BY i) AS sentence FROM b LEFT JOIN d ON bare = en GROUP BY rec_id

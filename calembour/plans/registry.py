@@ -24,7 +24,7 @@ def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGSHIP_SQL = f"""
 WITH f AS (SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text),
-c AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, {text_queries.lit(text_queries.T.BLANK + "+")}), x -> x <> ''), ' ') AS t FROM f),
+c AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, {text_queries.lit(text_queries.T.BLANK + "+")}), lambda x: x <> ''), ' ') AS t FROM f),
 l AS (SELECT doc_id, min(kind) AS kind FROM doc_labels GROUP BY doc_id)
 SELECT coalesce(kind, '') AS kind, avg(length(t)) AS mean_length, count(*) AS n FROM c LEFT JOIN l ON c.doc_id = l.doc_id GROUP BY 1
 """

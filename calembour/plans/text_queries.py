@@ -52,15 +52,15 @@ WITH f AS (SELECT id_en, coalesce(en, '') AS t FROM translation_en QUALIFY row_n
 a AS (SELECT id_en, {_replaced("t", T.LITERALS)} AS t FROM f),
 b AS (SELECT id_en, CASE WHEN starts_with(t, '- ') THEN substr(t, 3) ELSE t END AS t FROM a),
 c AS (SELECT id_en, {_replaced("t", [(d, "") for d in T.DELETED])} AS t FROM b),
-w AS (SELECT id_en, list_filter(regexp_split_to_array(t, {lit(T.BLANK + "+")}), x -> x <> '') AS w FROM c),
-k AS (SELECT id_en, w, coalesce(list_position(list_transform(w, (x, i) -> i > 1 AND length(x) > 2 AND NOT {_UP}), true), 0) AS stop FROM w),
-l AS (SELECT id_en, array_to_string(CASE WHEN w[1] = 'OLD' THEN list_transform(w, (x, i) -> CASE WHEN i = 1 THEN 'Old' WHEN length(x) > 2 AND (stop = 0 OR i < stop) THEN lower(x) ELSE x END) ELSE w END, ' ') AS t FROM k),
+w AS (SELECT id_en, list_filter(regexp_split_to_array(t, {lit(T.BLANK + "+")}), lambda x: x <> '') AS w FROM c),
+k AS (SELECT id_en, w, coalesce(list_position(list_transform(w, lambda x, i: i > 1 AND length(x) > 2 AND NOT {_UP}), true), 0) AS stop FROM w),
+l AS (SELECT id_en, array_to_string(CASE WHEN w[1] = 'OLD' THEN list_transform(w, lambda x, i: CASE WHEN i = 1 THEN 'Old' WHEN length(x) > 2 AND (stop = 0 OR i < stop) THEN lower(x) ELSE x END) ELSE w END, ' ') AS t FROM k),
 d AS (SELECT id_en, {_inverted("t", "t")} AS t FROM l),
 e AS (SELECT id_en, CASE WHEN contains(t, ', Tom') THEN '"' || replace(t, ', Tom', '," Tom') ELSE t END AS t FROM d),
 g AS (SELECT id_en, CASE WHEN contains(t, '! Tom') THEN '"' || replace(t, '! Tom', '!" Tom') ELSE t END AS t FROM e),
 h AS (SELECT id_en, CASE WHEN contains(t, '? Tom') THEN '"' || replace(t, '? Tom', '?" Tom') ELSE t END AS t FROM g),
 p AS (SELECT id_en, string_split(replace(replace(t, 'Tom''s', 'his'), 'Tom', 'he'), ' -- ') AS p FROM h)
-SELECT id_en, array_to_string(list_transform(p, (x, i) -> CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '^[\\p{{L}}\\p{{N}}_]') THEN '. ' || upper(x[1]) || substr(x, 2) ELSE ' -- ' || x END), '') AS text_clean
+SELECT id_en, array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '^[\\p{{L}}\\p{{N}}_]') THEN '. ' || upper(x[1]) || substr(x, 2) ELSE ' -- ' || x END), '') AS text_clean
 FROM p
 """
 
@@ -198,7 +198,7 @@ def chunk_range(spark, sf_dir):
 SELECT rec_id, n_a + n_b + 1 AS n, mean_similarity, problems FROM (
   SELECT rec_id, coalesce(len(first_context), 0) AS n_a, coalesce(len(second_context), 0) AS n_b,
     CASE WHEN coalesce(len(first_context), 0) > coalesce(len(second_context), 0) THEN 1 ELSE 0 END AS problems,
-    list_avg(list_transform(range(1, 1 + least(len(first_context), len(second_context))), i -> CASE WHEN first_context[i] IS NOT DISTINCT FROM second_context[i] THEN 1.0 ELSE 0.0 END)) AS mean_similarity
+    list_avg(list_transform(range(1, 1 + least(coalesce(len(first_context), 0), coalesce(len(second_context), 0))), lambda i: CASE WHEN first_context[i] IS NOT DISTINCT FROM second_context[i] THEN 1.0 ELSE 0.0 END)) AS mean_similarity
   FROM translated)
 """)
 def aligned_list_compare(spark, sf_dir):
@@ -297,7 +297,7 @@ def keyword_flatten(spark, sf_dir):
 
 @query("""
 WITH v AS (SELECT user_id, list(CAST(floor(value) AS BIGINT) % 5) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id)
-SELECT user_id, list_sum(v) AS total, CASE WHEN list_sum(v) > 0 THEN CAST(list_sum(v) AS DOUBLE) / len(list_filter(v, x -> x <> 0)) ELSE 0 END AS mean FROM v
+SELECT user_id, list_sum(v) AS total, CASE WHEN list_sum(v) > 0 THEN CAST(list_sum(v) AS DOUBLE) / len(list_filter(v, lambda x: x <> 0)) ELSE 0 END AS mean FROM v
 """)
 def nonzero_mean(spark, sf_dir):
     rated = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.collect_list(F.floor("value") % 5).alias("v"))
@@ -319,8 +319,8 @@ def unit_histogram(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT ord, unnest(string_split(text_clean, '')) AS ch, generate_subscripts(string_split(text_clean, ''), 1) AS i FROM cleaned_en),
-f AS (SELECT ch, min((ord, i)) AS at, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch)
-SELECT ch, CAST(row_number() OVER (ORDER BY at) AS INT) AS id, n FROM f
+f AS (SELECT ch, min((ord, i)) AS pos, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch)
+SELECT ch, CAST(row_number() OVER (ORDER BY pos) AS INT) AS id, n FROM f
 """)
 def char_vocabulary(spark, sf_dir):
     return metrics.character_ids(table(spark, sf_dir, "cleaned_en"), "text_clean", "ord")
