@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from calembour.functions.text import content_tokens
 from calembour.functions.vectors import capped_score
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 from calembour.operators.relational import per_key_limit
 from calembour.session import checkpointed
 
@@ -176,7 +176,7 @@ def closest_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.78)
                     out.append((w, c, r))
             yield pd.DataFrame(out, columns=["word", "close", "ratio"])
 
-    rated = spread(met).mapInPandas(rate, "word string, close string, ratio double")
+    rated = spread(met).mapInPandas(frames(rate), "word string, close string, ratio double")
     return rated.groupBy("word").agg(F.max_by("close", F.struct("ratio", "close")).alias("close"))
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 
 MIN_SUPPORT = 2
 SHARE = 20_000
@@ -218,7 +218,7 @@ def known_values(df: DataFrame, fields: list[str]) -> list[str]:
             yield pd.DataFrame({"value": list(found), "n": list(found.values())})
 
     source = spread(df.select(*(F.col(f).cast("string").alias(f) for f in fields)))
-    counts = source.mapInPandas(quoted, "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = source.mapInPandas(frames(quoted), "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
     seen = F.max(F.when(F.col("value") == "", F.col("n")))
     total = counts.agg(seen.alias("n")).first()["n"] or 0
     return [r["value"] for r in counts.where((F.col("value") != "") & (F.col("n") >= max(MIN_SUPPORT, -(-total // SHARE)))).toLocalIterator()]
@@ -243,4 +243,4 @@ def unpack_values(df: DataFrame, key: str, fields: list[str], dictionary: list[s
                         found.append(v)
             yield pd.DataFrame({"k": pd.Series(keys, dtype=b["k"].dtype), "field_name": names, "pos": pd.Series(places, dtype="int32"), "value": found})
 
-    return source.mapInPandas(split, f"k {kind}, field_name string, pos int, value string").withColumnRenamed("k", key)
+    return source.mapInPandas(frames(split), f"k {kind}, field_name string, pos int, value string").withColumnRenamed("k", key)

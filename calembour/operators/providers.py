@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour.functions.text import json_slice, strict_json
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 
 
 class Provider(Protocol):
@@ -69,7 +69,7 @@ def ask(df: DataFrame, prompt: str, model: Provider | None, recorded: DataFrame
                     got = [f"ERROR {type(e).__name__}: {e}"] * len(prompts)
                 yield pd.DataFrame({"prompt": prompts, "response": got})
 
-        fresh = spread(wanted).mapInPandas(run, "prompt string, response string")
+        fresh = spread(wanted).mapInPandas(frames(run), "prompt string, response string")
         answers = fresh if answers is None else answers.unionByName(fresh)
     if answers is None:
         return df.withColumn(response, F.lit(None).cast("string"))
@@ -101,4 +101,4 @@ def loop(df: DataFrame, key: str, text: str, step: Callable[[str, int], tuple[st
                         break
             yield pd.DataFrame(rows, columns=["k", "iteration", "text", "stop"]).astype({"k": b["k"].dtype})
 
-    return source.mapInPandas(run, f"k {kind}, iteration int, text string, stop boolean").withColumnRenamed("k", key)
+    return source.mapInPandas(frames(run), f"k {kind}, iteration int, text string, stop boolean").withColumnRenamed("k", key)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour.functions.automata import Automaton, lay_out
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 
 FIELDS = ("id_en", "pun_word", "pun_type", "first_meaning", "second_meaning", "first_context", "chunk")
 LIST_FIELDS = (3, 4, 5)
@@ -170,7 +170,7 @@ def parse_records(df: DataFrame, key: str = "line_id", line: str = "line") -> Da
             out.insert(0, "k", b["k"].to_numpy())
             yield out
 
-    return source.mapInPandas(parse, f"k {kind}, {RESULT}").withColumnRenamed("k", key)
+    return source.mapInPandas(frames(parse), f"k {kind}, {RESULT}").withColumnRenamed("k", key)
 
 
 def good_records(df: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:

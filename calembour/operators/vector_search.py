@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 
 #: Queries in one block; at 1,000 dimensions a block has 16 MB.
 BLOCK = 2_000
@@ -60,7 +60,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
             q, j = np.nonzero(np.isfinite(best_s))
             yield pd.DataFrame({"query": ids[q], "neighbour": best_n[q, j], "score": best_s[q, j]})
 
-        return source.mapInPandas(run, "query bigint, neighbour bigint, score double")
+        return source.mapInPandas(frames(run), "query bigint, neighbour bigint, score double")
 
     for r in asked.toLocalIterator():
         block.append(r)
