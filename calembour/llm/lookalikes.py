@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 from calembour.operators.skew import salted_join
 from calembour.session import checkpointed, ship
 
@@ -196,7 +196,7 @@ def bigram_counts(df: DataFrame, text: str) -> DataFrame:
                             seen[a + z] += n
         yield pd.DataFrame({"pair": list(seen), "n": list(seen.values())})
 
-    return spread(df.select(F.col(text).alias("t"))).mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return spread(df.select(F.col(text).alias("t"))).mapInPandas(frames(count), "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def train(df: DataFrame, text: str) -> Scores:

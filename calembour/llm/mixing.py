@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from calembour.llm.text_quality import statistics
 from calembour.llm.tokenizing import BYTE_BPE_50K, vocabulary
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 from calembour.session import checkpointed
 
 BUCKETS = 200
@@ -56,7 +56,7 @@ def sized(df: DataFrame, key: str, text: str, source: str, path: str, seed: int)
             yield pd.DataFrame({"id": b["id"], "source": b["source"], "tokens": [len(x) for x in v.encode_batch(texts)], "weight": weights})
 
     u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return rows.mapInPandas(measure, f"id {kind}, source string, tokens bigint, weight double").where("tokens > 0").withColumn("k", -F.log(u) / F.col("weight"))
+    return rows.mapInPandas(frames(measure), f"id {kind}, source string, tokens bigint, weight double").where("tokens > 0").withColumn("k", -F.log(u) / F.col("weight"))
 
 
 def plan(documents: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:

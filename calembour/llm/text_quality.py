@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calembour.operators.layout import spread
+from calembour.operators.layout import frames, spread
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 TOKEN = re.compile(r"\S+")
@@ -238,7 +238,7 @@ def quality(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: s
             out.insert(0, "k", b["k"].to_numpy())
             yield out
 
-    return source.mapInPandas(run, schema).withColumnRenamed("k", key)
+    return source.mapInPandas(frames(run), schema).withColumnRenamed("k", key)
 
 
 def not_prose(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

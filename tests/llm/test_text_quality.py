@@ -35,7 +35,7 @@ def test_statistics():
 
 
 def test_tables(spark):
-    df = spark.createDataFrame([(1, PROSE), (2, None), (3, "- a\n- b"), (3, "- a\n- b"), (4, "x" * 2_000_000)], "doc_id bigint, text string").selectExpr("doc_id", "text", "'c' AS kind", "'d' AS k")
+    df = spark.createDataFrame([(1, PROSE), (2, None), (3, "- ruler\n- bank"), (3, "- ruler\n- bank"), (4, "x" * 2_000_000)], "doc_id bigint, text string").selectExpr("doc_id", "text", "'c' AS kind", "'d' AS k")
     cw = spark.createDataFrame([("the",), (None,)], "word string")
     assert sorted(tuple(r) for r in not_prose(df, cw).collect()) == [(3, "list"), (3, "list"), (4, "junk")]
     assert quality(df, cw).count() == 5 and quality(df.limit(0), cw).count() == 0
