@@ -224,19 +224,23 @@ def one_form(df: DataFrame, text: str, scores: Scores | None = None, to: str = "
 
 
 def _lanes(column: Column, name: str) -> list[Column]:
-    return [F.xxhash64(column).alias(f"{name}1"), F.xxhash64(F.lit("second"), column).alias(f"{name}2")]
+    return [F.xxhash64("part", column).alias(f"{name}1"), F.xxhash64(F.lit("second"), "part", column).alias(f"{name}2")]
 
 
-def same_looking_pairs(df: DataFrame, key: str, text: str, scores: Scores | None = None) -> DataFrame:
+def same_looking_pairs(df: DataFrame, key: str, text: str, scores: Scores | None = None, part: str | None = None) -> DataFrame:
     """``a``, ``b`` (a < b): rows whose texts look the same but are different strings.
 
+    With ``part`` only rows of the same part are compared, and ``part`` comes out too, so
+    that several tables can go through in one pass.
+
     Equal strings form a class first; classes of one look are paired, and only then
     expanded to rows, so a text that fills a third of the table is never compared with
     itself. Rows of such a class are spread over tasks.
     """
-    formed = one_form(spread(df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))), "t", scores).where("canonical <> ''")
+    named = (F.col(part) if part else F.lit("")).cast("string").alias("part")
+    formed = one_form(spread(df.select(F.col(key).alias("id"), named, F.col(text).cast("string").alias("t"))), "t", scores).where("canonical <> ''")
     # five numbers a row, written once: the normalization is not repeated for each use
-    rows = checkpointed(formed.select("id", *_lanes(F.col("canonical"), "c"), *_lanes(F.col("t"), "t")))
+    rows = checkpointed(formed.select("id", "part", *_lanes(F.col("canonical"), "c"), *_lanes(F.col("t"), "t")))
     total = df.count()
     classes = rows.groupBy("c1", "c2", "t1", "t2").agg(F.count(F.lit(1)).alias("n"))
     looks = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
@@ -245,8 +249,9 @@ def same_looking_pairs(df: DataFrame, key: str, text: str, scores: Scores | None
     right = several.select("c1", "c2", F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("n").alias("nb"))
     pairs = left.join(right, ["c1", "c2"]).where("a1 < b1 OR (a1 = b1 AND a2 < b2)").drop("c1", "c2")
     members = rows.select("id", "t1", "t2")
+    parts = rows.select("id", "part", "t1", "t2")
     counts_a = several.select(F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("n").alias("na"))
     a = salted_join(members.toDF("ida", "a1", "a2"), pairs, ["a1", "a2"], "na", total, F.col("ida"), counts=counts_a).select("ida", "b1", "b2", "nb")
     counts_b = several.select(F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("n").alias("nb"))
-    both = salted_join(members.toDF("idb", "b1", "b2"), a, ["b1", "b2"], "nb", total, F.col("idb"), counts=counts_b)
-    return both.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).where("a < b")
+    both = salted_join(parts.toDF("idb", "part", "b1", "b2"), a, ["b1", "b2"], "nb", total, F.col("idb"), counts=counts_b)
+    return both.select(*(["part"] if part else []), F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).where("a < b")

@@ -32,11 +32,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for table, column in (("cleaned_en", "text_clean"), ("translation_fr", "text_fr")):
-        pairs = lookalikes.same_looking_pairs(_table(spark, sf_dir, table), "ord", column)
-        parts.append(pairs.select(F.lit(column).alias("field_name"), F.col("a").alias("a_ord"), F.col("b").alias("b_ord")))
-    return parts[0].unionByName(parts[1])
+    en = _table(spark, sf_dir, "cleaned_en").select("ord", F.lit("text_clean").alias("field_name"), F.col("text_clean").alias("t"))
+    fr = _table(spark, sf_dir, "translation_fr").select("ord", F.lit("text_fr").alias("field_name"), F.col("text_fr").alias("t"))
+    pairs = lookalikes.same_looking_pairs(en.unionByName(fr), "ord", "t", part="field_name")
+    return pairs.select(F.col("part").alias("field_name"), F.col("a").alias("a_ord"), F.col("b").alias("b_ord"))
 
 
 def p4_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,10 @@ def test_pairs_against_brute_force(spark, monkeypatch):
 
 def test_a_long_text():
     assert len(SCORES.canonical("осеаn " * 50_000)) == 6 * 50_000 - 1
+
+
+def test_parts_are_kept_apart(spark):
+    rows = [(1, "x", "a cop"), (2, "x", "a сор"), (1, "y", "a сор"), (3, "y", "a cop")]
+    df = spark.createDataFrame(rows, "ord bigint, f string, t string")
+    got = sorted(tuple(r) for r in L.same_looking_pairs(df, "ord", "t", SCORES, part="f").collect())
+    assert got == [("x", 1, 2), ("y", 1, 3)]
