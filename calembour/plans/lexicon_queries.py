@@ -316,7 +316,7 @@ def recorded_provider(spark, sf_dir):
     return providers.parsed(asked, "pun_word string").select("pair_id", "pun_word", "error")
 
 
-@query("SELECT rec_id, i AS iteration, i = 1 + rec_id % 3 AS stop FROM (SELECT rec_id, unnest(range(1, 2 + rec_id % 3)) AS i FROM translated WHERE text_clean IS NOT NULL)")
+@query("SELECT rec_id, CAST(i AS INT) AS iteration, i = 1 + rec_id % 3 AS stop FROM (SELECT rec_id, unnest(range(1, 2 + rec_id % 3)) AS i FROM translated WHERE text_clean IS NOT NULL)")
 def rewriting_loop(spark, sf_dir):
     df = table(spark, sf_dir, "translated").where("text_clean IS NOT NULL").select("rec_id", F.concat((F.col("rec_id") % 3).cast("string"), F.lit("|"), "text_clean").alias("t"))
     return providers.loop(df, "rec_id", "t", _step, 10).select("rec_id", "iteration", "stop")

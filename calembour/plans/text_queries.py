@@ -75,7 +75,7 @@ def first_per_key(spark, sf_dir):
     return relational.first_per_key(table(spark, sf_dir, "translation_en").select("ord", "id_en", "en"), "id_en", "ord")
 
 
-@query("SELECT ord, CASE WHEN contains(en, ' -- ') THEN 1 ELSE 0 END AS dashed, length(en) AS n FROM translation_en WHERE length(coalesce(en, '')) > 0")
+@query("SELECT ord, CASE WHEN contains(en, ' -- ') THEN 1 ELSE 0 END AS dashed, CAST(length(en) AS INT) AS n FROM translation_en WHERE length(coalesce(en, '')) > 0")
 def non_empty_texts(spark, sf_dir):
     df = table(spark, sf_dir, "translation_en").where(F.length(F.coalesce("en", F.lit(""))) > 0)
     return df.select("ord", F.when(F.col("en").contains(" -- "), 1).otherwise(0).alias("dashed"), F.length("en").alias("n"))
@@ -155,19 +155,20 @@ def _types(spark, sf_dir):
     return t.join(g, "id_en").select("y", "p")
 
 
-@query(_TYPES + "SELECT avg(CASE WHEN coalesce(y, '') = p THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM p")
+@query(_TYPES + "SELECT round(CAST(avg(CASE WHEN coalesce(y, '') = p THEN 1 ELSE 0 END) AS DOUBLE), 9) AS accuracy, count(*) AS n FROM p")
 def accuracy(spark, sf_dir):
-    return metrics.accuracy(_types(spark, sf_dir), "y", "p")
+    return metrics.accuracy(_types(spark, sf_dir), "y", "p").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(_TYPES + """,
 q AS (SELECT coalesce(y, '') AS y, p FROM p), lab AS (SELECT y AS l FROM q UNION SELECT p FROM q),
 st AS (SELECT l, sum(CASE WHEN y = l AND p = l THEN 1 ELSE 0 END) tp, sum(CASE WHEN y = l THEN 1 ELSE 0 END) sup, sum(CASE WHEN p = l THEN 1 ELSE 0 END) pr FROM lab, q GROUP BY l)
-SELECT sum(CASE WHEN pr > 0 THEN CAST(tp AS DOUBLE) / pr * sup END) / nullif(sum(CASE WHEN pr > 0 THEN sup END), 0) AS precision,
-  CAST(sum(tp) AS DOUBLE) / nullif(sum(sup), 0) AS recall, sum(2.0 * tp / (sup + pr) * sup) / nullif(sum(sup), 0) AS f1 FROM st
+SELECT round(sum(CASE WHEN pr > 0 THEN CAST(tp AS DOUBLE) / pr * sup END) / nullif(sum(CASE WHEN pr > 0 THEN sup END), 0), 9) AS precision,
+  round(CAST(sum(tp) AS DOUBLE) / nullif(sum(sup), 0), 9) AS recall, round(sum(2 * CAST(tp AS DOUBLE) / (sup + pr) * sup) / nullif(sum(sup), 0), 9) AS f1 FROM st
 """)
 def weighted_scores(spark, sf_dir):
-    return metrics.weighted_scores(_types(spark, sf_dir), "y", "p")
+    out = metrics.weighted_scores(_types(spark, sf_dir), "y", "p")
+    return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
 @query(f"""
@@ -195,7 +196,7 @@ def chunk_range(spark, sf_dir):
 
 
 @query("""
-SELECT rec_id, n_a + n_b + 1 AS n, mean_similarity, problems FROM (
+SELECT rec_id, CAST(n_a + n_b + 1 AS INT) AS n, mean_similarity, problems FROM (
   SELECT rec_id, coalesce(len(first_context), 0) AS n_a, coalesce(len(second_context), 0) AS n_b,
     CASE WHEN coalesce(len(first_context), 0) > coalesce(len(second_context), 0) THEN 1 ELSE 0 END AS problems,
     list_avg(list_transform(range(1, 1 + least(coalesce(len(first_context), 0), coalesce(len(second_context), 0))), lambda i: CASE WHEN first_context[i] IS NOT DISTINCT FROM second_context[i] THEN 1.0 ELSE 0.0 END)) AS mean_similarity
@@ -209,7 +210,7 @@ def aligned_list_compare(spark, sf_dir):
     return out.join(n, "rec_id").select("rec_id", "n", "mean_similarity", "problems")
 
 
-@query("SELECT rec_id, array_to_string(first_context, '|') AS items, len(first_context) AS n FROM translated WHERE len(first_context) > 0")
+@query("SELECT rec_id, array_to_string(first_context, '|') AS items, CAST(len(first_context) AS INT) AS n FROM translated WHERE len(first_context) > 0")
 def list_literal_parse(spark, sf_dir):
     df = table(spark, sf_dir, "translated").where(F.size("first_context") > 0)
     quoted = F.transform("first_context", lambda x: F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'")))
@@ -297,7 +298,7 @@ def keyword_flatten(spark, sf_dir):
 
 @query("""
 WITH v AS (SELECT user_id, list(CAST(floor(value) AS BIGINT) % 5) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id)
-SELECT user_id, list_sum(v) AS total, CASE WHEN list_sum(v) > 0 THEN CAST(list_sum(v) AS DOUBLE) / len(list_filter(v, lambda x: x <> 0)) ELSE 0 END AS mean FROM v
+SELECT user_id, CAST(list_sum(v) AS BIGINT) AS total, CASE WHEN list_sum(v) > 0 THEN CAST(list_sum(v) AS DOUBLE) / len(list_filter(v, lambda x: x <> 0)) ELSE 0 END AS mean FROM v
 """)
 def nonzero_mean(spark, sf_dir):
     rated = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.collect_list(F.floor("value") % 5).alias("v"))
@@ -338,7 +339,7 @@ def concept_terms(spark, sf_dir):
     return table(spark, sf_dir, "translated").select("rec_id", T.concept_term(concept).alias("term"))
 
 
-@query("SELECT DISTINCT rec_id, 'Translate every value into French and keep the JSON keys.' || chr(10) || pun_word AS prompt, model, temperature FROM translated t, (SELECT unnest(['a', 'b']) AS m), (SELECT unnest([0.0, 0.7]) AS temperature) WHERE pun_word IS NOT NULL AND model IS NOT NULL".replace("model, temperature FROM", "m AS model, temperature FROM").replace(" AND model IS NOT NULL", ""))
+@query("SELECT DISTINCT rec_id, 'Translate every value into French and keep the JSON keys.' || chr(10) || pun_word AS prompt, model, temperature FROM translated t, (SELECT unnest(['a', 'b']) AS m), (SELECT CAST(unnest([0.0, 0.7]) AS DOUBLE) AS temperature) WHERE pun_word IS NOT NULL AND model IS NOT NULL".replace("model, temperature FROM", "m AS model, temperature FROM").replace(" AND model IS NOT NULL", ""))
 def prompt_sweep(spark, sf_dir):
     p = table(spark, sf_dir, "translated").where("pun_word IS NOT NULL").select("rec_id", T.prompt("translate", language=F.lit("French"), values=F.col("pun_word")).alias("prompt"))
     return pipelines.sweep(p, ["a", "b"], [0.0, 0.7])
