@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calembour.llm import answer_defects, dressed_duplicates, entity_matching, lookalikes, mixing, text_quality, tokenizing
+from calembour.operators.layout import spread
 
 RECORD_FIELDS = ["en", "text_clean", "pun_type"]
 
@@ -27,19 +29,34 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dressed_duplicates.collapsed(dressed_duplicates.table_copies(df, "ord", "en"), df, "ord")
 
 
+def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``p1_collapsed`` says of translation_en, for both tables of the problem."""
+    jokes, records = _table(spark, sf_dir, "translation_en"), _table(spark, sf_dir, "joke_dump")
+    both = (
+        ("translation_en", dressed_duplicates.collapsed(dressed_duplicates.table_copies(jokes, "ord", "en"), jokes, "ord")),
+        ("joke_dump", dressed_duplicates.collapsed(dressed_duplicates.record_copies(records, "dump_id", "record", RECORD_FIELDS, "en"), records, "dump_id")),
+    )
+    return reduce(DataFrame.unionByName, [df.select(F.lit(tab).alias("tab"), "keep_id", "copies") for tab, df in both])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_defects.defective_answers(_table(spark, sf_dir, "generated_puns"))
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _both_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     en = _table(spark, sf_dir, "cleaned_en").select("ord", F.lit("text_clean").alias("field_name"), F.col("text_clean").alias("t"))
     fr = _table(spark, sf_dir, "translation_fr").select("ord", F.lit("text_fr").alias("field_name"), F.col("text_fr").alias("t"))
-    pairs = lookalikes.same_looking_pairs(en.unionByName(fr), "ord", "t", part="field_name")
+    return en.unionByName(fr)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalikes.same_looking_pairs(_both_texts(spark, sf_dir), "ord", "t", part="field_name")
     return pairs.select(F.col("part").alias("field_name"), F.col("a").alias("a_ord"), F.col("b").alias("b_ord"))
 
 
 def p4_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalikes.one_form(_table(spark, sf_dir, "cleaned_en").select("ord", "text_clean"), "text_clean").select("ord", "canonical")
+    """Every text of both tables, under the model that ``p4_found`` trains."""
+    return lookalikes.one_form(spread(_both_texts(spark, sf_dir)), "t").select("field_name", "ord", "canonical")
 
 
 def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +92,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_collapsed, p2_found, p4_found, p4_one_form, p5_found, p5_matches, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)
+        for f in (p1_found, p1_collapsed, p1_copies, p2_found, p4_found, p4_one_form, p5_found, p5_matches, p7_ids, p8_mix, p8_shares, p9_found, p9_statistics)
     }
 
 
