@@ -7,10 +7,10 @@ every known whole value that lies between cut points, and dynamic programming pi
 the cover of the stretch with the fewest unknown pieces, so a separator inside a known
 value does not cut it.
 
-The dictionary is learnt from the same table: values that contain a separator and are
-written in quotes, at least ``MIN_SUPPORT`` times and in at least one of ``SHARE`` fields.
-That share bounds it at SHARE * (values a field) entries whatever the table's size,
-which is why it may be sent to every task.
+The dictionary is learnt from the same table: values that are written in quotes at least
+``MIN_SUPPORT`` times, however large the table. Up to ``MOST_SENT`` characters it is
+sent to every task; a larger one is joined with the runs of pieces that occur in
+unquoted stretches, and each text gets the values known in it. Both ways give the same.
 
 Defined cases: null, blank, empty brackets and separators alone give no row; empty
 items do not count; repeated rows repeat; fields of any length are scanned whole;
@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour.operators.layout import frames, spread
+from calembour.operators.skew import salted_join
+from calembour.session import checkpointed
 
 MIN_SUPPORT = 2
-SHARE = 20_000
+MOST_SENT = 8_000_000
 
 SEPARATORS = ",;|/\t\n\r·•、‧;，；｜"
 BULLETS = "-*•·–—▪◦‣"
@@ -74,7 +76,7 @@ def closing_at(text: str, start: int, end: int) -> int:
 
 
 class Dictionary:
-    """Known whole values that contain a separator, in an automaton."""
+    """Known whole values, in an automaton."""
 
     def __init__(self, values: list[str]):
         import ahocorasick
@@ -89,11 +91,37 @@ class Dictionary:
     def spans(self, text: str) -> list[tuple[int, int]]:
         return [(e + 1 - n, e + 1) for e, n in self.automaton.iter(text)] if self.size else []
 
+    def runs(self, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(first, last) of the runs of ``pieces`` that are a known value."""
+        spans = self.spans(text)
+        if not spans:
+            return []
+        starts = {a: i for i, (a, b) in enumerate(pieces) if b > a}
+        ends = {b: i for i, (a, b) in enumerate(pieces) if b > a}
+        return [(starts[a], ends[b]) for a, b in spans if a in starts and b in ends and ends[b] >= starts[a]]
+
+
+class Runs:
+    """Gathers the runs of pieces that could be a known value, of at most so many pieces and characters."""
+
+    def __init__(self, pieces: int, letters: int):
+        self.pieces, self.letters, self.seen = pieces, letters, set()
+
+    def runs(self, text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        if len(pieces) > 1:
+            full = [(a, b) for a, b in pieces if b > a]
+            for i, (a, _) in enumerate(full):
+                for _, b in full[i : i + self.pieces]:
+                    if b - a > self.letters:
+                        break
+                    self.seen.add(text[a:b])
+        return []
+
 
-def cover(text: str, cuts: list[tuple[int, int]], known: Dictionary) -> list[str]:
+def cover(text: str, cuts: list[tuple[int, int]], known: Dictionary | Runs) -> list[str]:
     """Pieces of ``text`` between separators (``cuts``: their start and end), some joined again because their whole is known.
 
-    Cost: 1 for an unknown piece, 0.4 for a known value however many separators it
+    Cost: 5 for an unknown piece, 2 for a known value however many separators it
     spans; ties go to the finer cover.
     """
     pieces, at = [], 0
@@ -107,28 +135,24 @@ def cover(text: str, cuts: list[tuple[int, int]], known: Dictionary) -> list[str
         while b > a and text[b - 1].isspace():
             b -= 1
         trimmed.append((a, b))
-    spans = known.spans(text)
-    if spans:
-        starts = {a: i for i, (a, b) in enumerate(trimmed) if b > a}
-        ends = {b: i for i, (a, b) in enumerate(trimmed) if b > a}
-        joins = [(starts[a], ends[b]) for a, b in spans if a in starts and b in ends and ends[b] > starts[a]]
-        if joins:
-            n = len(trimmed)
-            cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-            by_end: dict[int, list[int]] = {}
-            for i, j in joins:
-                by_end.setdefault(j, []).append(i)
-            for j in range(n):
-                a, b = trimmed[j]
-                cost[j + 1], back[j + 1] = cost[j] + (b > a), j
-                for i in by_end.get(j, ()):
-                    if cost[i] + 0.4 < cost[j + 1]:
-                        cost[j + 1], back[j + 1] = cost[i] + 0.4, i
-            out, j = [], n
-            while j:
-                out.append((trimmed[back[j]][0], trimmed[j - 1][1]))
-                j = back[j]
-            trimmed = out[::-1]
+    joins = known.runs(text, trimmed)
+    if any(j > i for i, j in joins):
+        n = len(trimmed)
+        cost, back = [0] + [5 * n + 1] * n, [0] * (n + 1)
+        by_end: dict[int, list[int]] = {}
+        for i, j in joins:
+            by_end.setdefault(j, []).append(i)
+        for j in range(n):
+            a, b = trimmed[j]
+            cost[j + 1], back[j + 1] = cost[j] + 5 * (b > a), j
+            for i in by_end.get(j, ()):
+                if cost[i] + 2 < cost[j + 1]:
+                    cost[j + 1], back[j + 1] = cost[i] + 2, i
+        out, j = [], n
+        while j:
+            out.append((trimmed[back[j]][0], trimmed[j - 1][1]))
+            j = back[j]
+        trimmed = out[::-1]
     return [text[a:b] for a, b in trimmed if b > a]
 
 
@@ -143,7 +167,7 @@ def literal_list(text: str) -> list[str] | None:
     return None
 
 
-def scan(text: str, known: Dictionary) -> list[tuple[str, bool]]:
+def scan(text: str, known: Dictionary | Runs) -> list[tuple[str, bool]]:
     """(value, was it quoted) of the items of a field, empty ones included."""
     t = text.strip()
     if t[:1] == "[" and t[-1:] == "]":
@@ -199,36 +223,43 @@ def split_values(text: str | None, known: Dictionary) -> list[str]:
     return [v for v in (x.strip() for x, _ in scan(text, known)) if v]
 
 
-def known_values(df: DataFrame, fields: list[str]) -> list[str]:
-    """The dictionary: quoted values with a separator inside, over all rows of ``fields``."""
+def _quoted_values(df: DataFrame, fields: list[str]) -> DataFrame:
+    """``value``: the dictionary, over all rows of ``fields``."""
 
     def quoted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = Dictionary([])
         for b in batches:
             found: dict[str, int] = {}
-            seen = 0
             for f in fields:
                 for t in b[f].dropna():
-                    seen += 1
-                    if HAS_SEPARATOR.search(t):
-                        for v, q in scan(t, none):
-                            if q and HAS_SEPARATOR.search(v):
-                                found[v.strip()] = found.get(v.strip(), 0) + 1
-            found[""] = seen  # the empty value carries the number of fields
+                    for v, q in scan(t, none):
+                        if q and (v := v.strip()):
+                            found[v] = found.get(v, 0) + 1
             yield pd.DataFrame({"value": list(found), "n": list(found.values())})
 
     source = spread(df.select(*(F.col(f).cast("string").alias(f) for f in fields)))
     counts = source.mapInPandas(frames(quoted), "value string, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    seen = F.max(F.when(F.col("value") == "", F.col("n")))
-    total = counts.agg(seen.alias("n")).first()["n"] or 0
-    return [r["value"] for r in counts.where((F.col("value") != "") & (F.col("n") >= max(MIN_SUPPORT, -(-total // SHARE)))).toLocalIterator()]
+    return counts.where(F.col("n") >= MIN_SUPPORT).select("value")
+
+
+def known_values(df: DataFrame, fields: list[str]) -> list[str]:
+    """The dictionary as a list, for tables whose dictionary fits the driver."""
+    return [r["value"] for r in _quoted_values(df, fields).toLocalIterator()]
+
+
+def _schema(kind: str) -> str:
+    return f"k {kind}, field_name string, pos int, value string"
 
 
 def unpack_values(df: DataFrame, key: str, fields: list[str], dictionary: list[str] | None = None) -> DataFrame:
-    """``key``, ``field_name``, ``pos`` (from 1), ``value``: one row per value. No shuffle beyond learning the dictionary."""
-    values = known_values(df, fields) if dictionary is None else dictionary
+    """``key``, ``field_name``, ``pos`` (from 1), ``value``: one row per value. No shuffle beyond learning the dictionary, unless it is too large to be sent."""
+    values = dictionary
+    if values is None:
+        learnt = checkpointed(_quoted_values(df, fields))
+        if (learnt.agg(F.sum(F.length("value")).alias("n")).first()["n"] or 0) > MOST_SENT:
+            return _unpack_joined(df, key, fields, learnt)
+        values = [r["value"] for r in learnt.toLocalIterator()]
     source = spread(df.select(F.col(key).alias("k"), *(F.col(f).cast("string").alias(f) for f in fields)))
-    kind = source.schema["k"].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Dictionary(values)
@@ -243,4 +274,44 @@ def unpack_values(df: DataFrame, key: str, fields: list[str], dictionary: list[s
                         found.append(v)
             yield pd.DataFrame({"k": pd.Series(keys, dtype=b["k"].dtype), "field_name": names, "pos": pd.Series(places, dtype="int32"), "value": found})
 
-    return source.mapInPandas(frames(split), f"k {kind}, field_name string, pos int, value string").withColumnRenamed("k", key)
+    return source.mapInPandas(frames(split), _schema(source.schema["k"].dataType.simpleString())).withColumnRenamed("k", key)
+
+
+def _unpack_joined(df: DataFrame, key: str, fields: list[str], learnt: DataFrame) -> DataFrame:
+    """``unpack_values`` with a dictionary of any size: each distinct text gets the known values among its runs of pieces."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("t")) for f in fields))).alias("x")
+    rows = df.select(F.col(key).alias("k"), stacked).select("k", "x.f", "x.t").where("t IS NOT NULL")
+    rows = checkpointed(rows.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit("b"), "t")}))
+    texts = rows.groupBy("h1", "h2").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    # a value has at most one piece more than it has separators and blanks
+    most = learnt.agg(F.max(F.length(F.regexp_replace("value", f"[^\\s{re.escape(SEPARATORS)}]", ""))).alias("cuts"), F.max(F.length("value")).alias("letters")).first()
+    pieces, letters = most["cuts"] + 1, most["letters"]
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for h1, h2, t in zip(b["h1"], b["h2"], b["t"], strict=True):
+                gather = Runs(pieces, letters)
+                scan(t, gather)
+                out += [(h1, h2, v) for v in gather.seen]
+            yield pd.DataFrame(out, columns=["h1", "h2", "value"])
+
+    met = texts.select("h1", "h2", "t").mapInPandas(frames(candidates), "h1 bigint, h2 bigint, value string").join(learnt, "value")
+    counts = checkpointed(texts.drop("t"))
+    known = met.groupBy("h1", "h2").agg(F.collect_list("value").alias("known")).join(counts, ["h1", "h2"])
+    both = salted_join(rows, known, ["h1", "h2"], "n", max(1, rows.count()), F.col("k"), how="left", counts=counts)
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = Dictionary([])
+        for b in batches:
+            keys, names, places, found = [], [], [], []
+            for k, f, t, own in zip(b["k"], b["f"], b["t"], b["known"], strict=True):
+                for p, v in enumerate(split_values(t, none if own is None else Dictionary(list(own))), 1):
+                    keys.append(k)
+                    names.append(f)
+                    places.append(p)
+                    found.append(v)
+            yield pd.DataFrame({"k": pd.Series(keys, dtype=b["k"].dtype), "field_name": names, "pos": pd.Series(places, dtype="int32"), "value": found})
+
+    return both.select("k", "f", "t", "known").mapInPandas(frames(split), _schema(kind)).withColumnRenamed("k", key)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +67,32 @@ def test_table(spark):
     got = sorted(tuple(r) for r in unpack_values(df, "rec_id", ["f", "value"]).collect())
     assert got == sorted([(1, "f", 1, "a, b"), (1, "f", 2, "c"), (2, "f", 1, "a, b"), (2, "value", 1, "x"), *[(3, "f", 1, "a, b"), (3, "f", 2, "d")] * 2])
     assert unpack_values(df.limit(0), "rec_id", ["f"]).count() == 0
+
+
+def test_fewest_unknown_pieces():
+    assert split_values("x, y, z", Dictionary(["x, y", "y, z", "x"])) == ["x", "y, z"]
+    assert split_values("x, y, z", Dictionary(["x", "y", "z"])) == ["x", "y", "z"]
+
+
+def test_the_support_of_a_known_value_does_not_grow_with_the_table(spark):
+    df = spark.range(41_000).selectExpr("id AS rec_id", "CASE WHEN id < 2 THEN '\"green vegetable, market\"' WHEN id = 2 THEN 'green vegetable, market' ELSE 'x' END AS f")
+    got = [r["value"] for r in unpack_values(df, "rec_id", ["f"]).where("rec_id = 2").collect()]
+    assert got == ["green vegetable, market"]
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_a_large_dictionary_is_joined_with_the_same_result(spark, monkeypatch, hot):
+    import calembour.operators.packed_values as P
+    import calembour.operators.skew as skew
+
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcd") + rng.choice(["", " e", " 1) f"])
+    values = lambda: rng.choice([", ", ";", " | "]).join(rng.choice(['"%s"', "%s"]) % (word() + rng.choice(["", ", " + word()])) for _ in range(rng.randint(1, 6)))
+    rows = [(i, values(), rng.choice([None, "", "a, b, c", "[a, b]"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "rec_id bigint, f string, g string")
+    want = sorted(tuple(r) for r in unpack_values(df, "rec_id", ["f", "g"]).collect())
+    plain = sorted((i, n, p, v) for i, f, g in rows for n, t in (("f", f), ("g", g)) for p, v in enumerate(split_values(t, NONE), 1))
+    monkeypatch.setattr(P, "MOST_SENT", 0)
+    monkeypatch.setattr(skew, "HOT_LEAST", hot)
+    joined = unpack_values(df, "rec_id", ["f", "g"])
+    assert sorted(tuple(r) for r in joined.collect()) == want != plain and joined.columns == ["rec_id", "field_name", "pos", "value"]
