@@ -131,22 +131,20 @@ def polygons(seeds: DataFrame, dictionary: DataFrame, lexicon: DataFrame, relate
 def longest_subword(words: DataFrame, vocabulary: DataFrame, least: int = 4) -> DataFrame:
     """``word``, ``sub``: the longest stretch of at least ``least`` letters that is itself a known word; the leftmost on ties.
 
-    Stretches grow with the square of a word's length, and the length of a word is
-    bounded by MOST_LETTERS: longer runs of letters are no words and have no subword.
+    Words of any length are searched; no stretch is longer than the longest known word,
+    so stretches grow with a word's length times that.
     """
+    known = vocabulary.select(F.col("word").alias("sub")).distinct()
+    longest = known.agg(F.coalesce(F.max(F.length("sub")), F.lit(0)).alias("longest"))
     stretches = (
-        words.select("word").distinct().where(F.length("word").between(least, MOST_LETTERS))
-        .select("word", F.explode(F.sequence(F.lit(1), F.length("word") - least + 1)).alias("i"))
-        .select("word", "i", F.explode(F.sequence(F.lit(least), F.length("word") - F.col("i") + 1)).alias("n"))
+        words.select("word").distinct().where(F.length("word") >= least).crossJoin(F.broadcast(longest)).where(F.col("longest") >= least)
+        .select("word", "longest", F.explode(F.sequence(F.lit(1), F.length("word") - least + 1)).alias("i"))
+        .select("word", "i", F.explode(F.sequence(F.lit(least), F.least(F.length("word") - F.col("i") + 1, F.col("longest")))).alias("n"))
         .select("word", "i", "n", F.expr("substring(word, i, n)").alias("sub"))
     )
-    known = vocabulary.select(F.col("word").alias("sub")).distinct()
     return stretches.join(known, "sub").groupBy("word").agg(F.max_by("sub", F.struct("n", -F.col("i"))).alias("sub"))
 
 
-MOST_LETTERS = 64
-
-
 def closest_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.78) -> DataFrame:
     """``word``, ``close``: the known word with the best matching-blocks ratio of at least ``cutoff``; the greatest string on ties.
 

@@ -23,6 +23,13 @@ def test_subword(spark):
     assert L.longest_subword(frame(spark, [("impasta",), ("xyz",)], "word string"), known).first()["sub"] == "pasta"
 
 
+def test_subword_of_a_long_run_of_letters(spark):
+    known = frame(spark, [("pasta",), ("past",)], "word string")
+    words = frame(spark, [("x" * 300 + "pasta" + "y" * 300,), ("pas",)], "word string")
+    assert [r["sub"] for r in L.longest_subword(words, known).collect()] == ["pasta"]
+    assert L.longest_subword(words, known.limit(0)).count() == 0
+
+
 def test_closest_word(spark):
     known = ["impaste", "impasto", "pasta", "imposts"]
     got = L.closest_words(frame(spark, [("impasta",)], "word string"), frame(spark, [(k,) for k in known], "word string")).first()["close"]
