@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from calembour.operators.layout import frames, spread
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-TOKEN = re.compile(r"\S+")
 BULLET = re.compile(r"\s*(?:[-*•·–—▪◦+]\s+|\[[ xX✓]?\]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)]\s+)")
 GRID = re.compile(r"\s*[+|]?[\s\-=+|:]{4,}\s*$")
 TERMINAL = re.compile(r"[.!?…。！？][\"'”»’)\]*_]*$")
 SENTENCE = re.compile(r"[^.!?…。！？]*[.!?…。！？]+[\"'”»’)\]]*")
 TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 HEX = re.compile(r"^(?=.*\d)[0-9a-fA-F]{5,}$|^\d{4,}$")
 DAMAGE = re.compile("�|[ÃÂâÅ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ©®§¤¬¨¹ª´]|[\u0080-\u009f]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -119,76 +119,120 @@ def run_together(text: str) -> int:
     return 0
 
 
+class Letters(dict):
+    """Translation table that leaves letters and digits only."""
+
+    def __missing__(self, code: int) -> int | None:
+        kept = self[code] = code if chr(code).isalnum() else None
+        return kept
+
+
+LETTERS_ONLY = Letters()
+
+
+class Layout:
+    """Lines of a text, which of them are table rows, and how the rest falls into sentences and list items."""
+
+    def __init__(self, text: str):
+        self.text = text.replace("\r\n", "\n").replace("\r", "\n")
+        lines = self.lines = [x for x in self.text.split("\n") if x.strip()]
+        self.size = sum(len(x.strip()) for x in lines)
+        rows = table_rows(lines)
+        self.row_chars = sum(len(x.strip()) for x, r in zip(lines, rows, strict=True) if r)
+        # hard-wrapped lines belong together: a line that is long or does not end a sentence runs on
+        blocks: list[str] = []
+        items = n_items = 0
+        flow = ""
+        width = max(map(len, lines))
+        for k, (x, r) in enumerate(zip(lines, rows, strict=True)):
+            s = x.strip()
+            before_full = k and width > 50 and len(lines[k - 1]) >= 0.72 * width and not TERMINAL.search(lines[k - 1].strip())
+            if r:
+                flow = flow and (blocks.append(flow) or "")
+            elif not (flow and before_full) and (is_item(x) or (not TERMINAL.search(s) and run_together(s))):
+                flow = flow and (blocks.append(flow) or "")
+                items += len(s)
+                n_items += run_together(s) or 1
+            elif not flow and BULLET.match(x):
+                blocks.append(BULLET.sub("", x, count=1).strip())
+            else:
+                flow = f"{flow} {s}" if flow else s
+        if flow:
+            blocks.append(flow)
+        self.sentences: list[str] = []
+        self.in_sentences = 0
+        for b in blocks:
+            if not (TERMINAL.search(b) or SENTENCE.search(b)) and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
+                items += len(b)
+                n_items += parts
+                continue
+            for m in SENTENCE.findall(b):
+                n = len(WORD.findall(m))
+                if n >= 3 or (n and len(CJK.findall(m)) > 4) or len(CJK.findall(m)) > 6:
+                    self.sentences.append(m.strip())
+                    self.in_sentences += len(m.strip())
+        self.items, self.n_items = items, n_items
+
+    def sentence_share(self) -> float:
+        return min(1.0, self.in_sentences / max(1, self.size))
+
+
+def doubled(parts: list[str]) -> float:
+    """Share of ``parts`` that repeat an earlier one."""
+    return 1 - len(set(parts)) / len(parts) if parts else 0.0
+
+
+def is_odd(token: str) -> bool:
+    """Whether a token is a number, a hash or another long run that nobody reads."""
+    if len(token) < 4:
+        return False
+    if (token[0] in HEX_DIGITS or not token[0].isascii()) and HEX.match(token):
+        return True
+    return len(token) > 40 and token.isascii() and token.count("-") < 3 and not re.search(r"[;,|]", token)
+
+
+def top_gram(words: list[str]) -> tuple[tuple[str, ...], int]:
+    """The most frequent run of GRAM words (among equals the one with the longest first word) and how often it occurs, if more than once."""
+    grams = Counter(zip(*(words[i:] for i in range(GRAM)), strict=False))
+    times = max(grams.values(), default=0)
+    if times < 2:
+        return (), times
+    return max((g for g, n in grams.items() if n == times), key=lambda g: len(g[0])), times
+
+
 def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
     zero = dict.fromkeys(STATISTICS, 0.0) | {"n_words": 0, "n_sentences": 0, "n_items": 0}
     if text is None or not text.strip():
         return zero
-    t = text.replace("\r\n", "\n").replace("\r", "\n")
-    lines = [x for x in t.split("\n") if x.strip()]
+    laid = Layout(text)
+    t, lines, size = laid.text, laid.lines, max(1, laid.size)
     words = WORD.findall(t)
-    lower = [w.casefold().replace("’", "'") for w in words]
-    visible = sum(not c.isspace() for c in t)
-    letters = sum(c.isalnum() for c in t)
-    size = sum(len(x.strip()) for x in lines)
-    tags = sum(len(m) for m in TAG.findall(t))
+    lower = "\n".join(words).casefold().replace("’", "'").split("\n") if words else []
+    tokens = t.split()
+    visible = sum(map(len, tokens))
+    letters = len(t.translate(LETTERS_ONLY))
+    word_letters = sum(map(len, words))
+    tags = sum(map(len, TAG.findall(t))) if "<" in t else 0
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", t) if p.strip()]
-
-    rows = table_rows(lines)
-    row_chars = sum(len(x.strip()) for x, r in zip(lines, rows, strict=True) if r)
-    # hard-wrapped lines belong together: a line that is long or does not end a sentence runs on
-    blocks: list[str] = []
-    items = n_items = 0
-    flow = ""
-    width = max(map(len, lines))
-    for k, (x, r) in enumerate(zip(lines, rows, strict=True)):
-        s = x.strip()
-        before_full = k and len(lines[k - 1]) >= 0.72 * width and width > 50 and not TERMINAL.search(lines[k - 1].strip())
-        if r:
-            flow = flow and (blocks.append(flow) or "")
-        elif (is_item(x) or (not TERMINAL.search(s) and run_together(s))) and not (flow and before_full):
-            flow = flow and (blocks.append(flow) or "")
-            items += len(s)
-            n_items += run_together(s) or 1
-        elif BULLET.match(x) and not flow:
-            blocks.append(BULLET.sub("", x, count=1).strip())
-        else:
-            flow = f"{flow} {s}" if flow else s
-    if flow:
-        blocks.append(flow)
-    sentences: list[str] = []
-    in_sentences = 0
-    for b in blocks:
-        if not (TERMINAL.search(b) or SENTENCE.search(b)) and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
-            items += len(b)
-            n_items += parts
-            continue
-        for m in SENTENCE.findall(b):
-            n = len(WORD.findall(m))
-            if n >= 3 or (n and len(CJK.findall(m)) > 4) or len(CJK.findall(m)) > 6:
-                sentences.append(m.strip())
-                in_sentences += len(m.strip())
-    grams = Counter(tuple(lower[i : i + GRAM]) for i in range(len(lower) - GRAM + 1))
-    gram, times = max(grams.items(), key=lambda x: (x[1], len(x[0][0])), default=((), 0))
-    tokens = TOKEN.findall(t)
-    odd = sum(bool(HEX.match(k)) or (len(k) > 40 and k.isascii() and k.count("-") < 3 and not re.search(r"[;,|]", k)) for k in tokens)
-    doubled = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
+    gram, times = top_gram(lower)
+    odd = sum(map(is_odd, tokens))
     return {
         "n_words": len(words),
-        "n_sentences": len(sentences),
-        "n_items": n_items,
-        "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
+        "n_sentences": len(laid.sentences),
+        "n_items": laid.n_items,
+        "mean_word_length": word_letters / len(words) if words else 0.0,
         "symbol_ratio": 1 - letters / visible if visible else 0.0,
         "punctuated_lines": sum(bool(TERMINAL.search(x.strip())) for x in lines) / len(lines),
-        "common_words": sum(w in common or w.split("'")[0] in common for w in lower) / len(lower) if lower else 0.0,
+        "common_words": sum(w in common or ("'" in w and w.split("'")[0] in common) for w in lower) / len(lower) if lower else 0.0,
         "duplicate_lines": doubled([x.strip() for x in lines]),
         "duplicate_paragraphs": doubled(paragraphs),
-        "duplicate_sentences": doubled(sentences),
-        "top_gram_coverage": min(1.0, times * sum(map(len, gram)) / max(1, sum(map(len, words)))) if times > 1 else 0.0,
-        "sentence_share": min(1.0, in_sentences / max(1, size)),
-        "item_share": items / max(1, size),
-        "table_share": row_chars / max(1, size),
-        "markup_share": tags / max(1, size),
-        "damage_share": len(DAMAGE.findall(t)) / max(1, len(tokens)),
+        "duplicate_sentences": doubled(laid.sentences),
+        "top_gram_coverage": min(1.0, times * sum(map(len, gram)) / max(1, word_letters)) if times > 1 else 0.0,
+        "sentence_share": laid.sentence_share(),
+        "item_share": laid.items / size,
+        "table_share": laid.row_chars / size,
+        "markup_share": tags / size,
+        "damage_share": 0.0 if t.isascii() else len(DAMAGE.findall(t)) / max(1, len(tokens)),
         "distinct_words": len(set(lower)) / len(lower) if lower else 0.0,
         "odd_tokens": odd / max(1, len(tokens)),
     }
