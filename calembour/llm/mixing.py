@@ -8,9 +8,10 @@ weight: the documents with the smallest keys until their tokens fill the budget,
 last one if at least half of it fits.
 
 No source is ever sorted as a whole. Approximate quantiles of the keys cut each source
-into BUCKETS buckets whose token sums say which bucket holds the end of the budget; only
-that bucket's rows are put in order. The quantiles decide how the work is cut, not
-which documents are drawn.
+into BUCKETS buckets whose token sums say which bucket holds the end of the budget. That
+bucket is cut again until it has no more than BORDER rows (or its keys are all the same),
+and only those are put in order. The quantiles decide how the work is cut, not which
+documents are drawn.
 
 Defined cases: source names are compared in lower case with ``_`` between words;
 documents with a null or unlisted source are no part of the mix, nor are those without
@@ -22,17 +23,20 @@ once (the largest share); a repeated document id is drawn by row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calembour.llm.text_quality import statistics
+from calembour.llm.text_quality import Layout, doubled
 from calembour.llm.tokenizing import BYTE_BPE_50K, vocabulary
 from calembour.operators.layout import frames, spread
 from calembour.session import checkpointed
 
 BUCKETS = 200
+#: Rows of one source that one task may put in order.
+BORDER = 100_000
 LEAST_WEIGHT = 0.1
 
 
@@ -51,8 +55,11 @@ def sized(df: DataFrame, key: str, text: str, source: str, path: str, seed: int)
             texts = b["t"].tolist()
             weights = []
             for t in texts:
-                s = statistics(t, frozenset())
-                weights.append(LEAST_WEIGHT + (1 - LEAST_WEIGHT) * s["sentence_share"] * (1 - s["duplicate_sentences"]))
+                quality = 0.0
+                if t.strip():
+                    laid = Layout(t)
+                    quality = laid.sentence_share() * (1 - doubled(laid.sentences))
+                weights.append(LEAST_WEIGHT + (1 - LEAST_WEIGHT) * quality)
             yield pd.DataFrame({"id": b["id"], "source": b["source"], "tokens": [len(x) for x in v.encode_batch(texts)], "weight": weights})
 
     u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -74,30 +81,42 @@ def plan(documents: DataFrame, targets: DataFrame, total: int | None) -> DataFra
     )
 
 
+def drawn(docs: DataFrame, sources: DataFrame, border: int = BORDER) -> DataFrame:
+    """``docs`` (``source``, ``id``, ``tokens``, ``k``) with the ``epochs`` of their source and ``drawn``: whether the fractional draw takes them once more."""
+    points = [i / BUCKETS for i in range(1, BUCKETS)]
+    undecided = docs.join(F.broadcast(sources.select("source", "epochs", "rest")), "source")  # one row per target source
+    decided, left = [], -1
+    while True:
+        edges = undecided.groupBy("source").agg(F.percentile_approx("k", points).alias("edges"))  # BUCKETS numbers a source
+        cut = undecided.join(F.broadcast(edges), "source").withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("k")))).drop("edges")
+        sums = cut.groupBy("source", "bucket").agg(F.sum("tokens").alias("s"), F.first("rest").alias("left"))
+        up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        # at most BUCKETS rows a source
+        edge = (
+            sums.withColumn("before", F.coalesce(F.sum("s").over(up_to), F.lit(0)))
+            .where("before < left")
+            .groupBy("source")
+            .agg(F.max("bucket").alias("last"), F.max_by("before", "bucket").alias("before"))
+        )
+        placed = cut.join(F.broadcast(edge), "source", "left")
+        decided.append(placed.where("bucket < last").withColumn("drawn", F.lit(1)))
+        decided.append(placed.where("last IS NULL OR bucket > last").withColumn("drawn", F.lit(0)))
+        undecided = checkpointed(placed.where("bucket = last").withColumn("rest", F.col("rest") - F.col("before")).drop("bucket", "last", "before"))
+        was, most = left, undecided.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        left = most["all"] or 0
+        if (most["most"] or 0) <= border or left == was:
+            break
+    running = Window.partitionBy("source").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0)
+    decided.append(undecided.withColumn("drawn", (F.sum("tokens").over(running) - F.col("tokens") / 2 <= F.col("rest")).cast("int")))
+    return reduce(DataFrame.unionByName, [d.select("id", "source", "tokens", "epochs", "drawn") for d in decided])
+
+
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, key: str = "doc_id", text: str = "text", source: str = "source", path: str = BYTE_BPE_50K, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(``key``, ``source``, ``tokens``, ``copies``) of every document in the mix, and the report of shares by source."""
     listed = targets.select(source_name(F.col("source")).alias("source")).distinct()
     docs = checkpointed(sized(documents, key, text, source, path, seed).join(F.broadcast(listed), "source", "left_semi"))
     sources = checkpointed(plan(docs, targets, total))  # one row per target source
-    points = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = docs.groupBy("source").agg(F.percentile_approx("k", points).alias("edges"))
-    known = sources.select("source", "epochs", "rest").join(edges, "source")
-    cut = docs.join(F.broadcast(known), "source").withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col("k")))).drop("edges")
-    sums = cut.groupBy("source", "bucket").agg(F.sum("tokens").alias("s"), F.first("rest").alias("rest"))
-    up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most BUCKETS rows a source
-    edge = (
-        sums.withColumn("before", F.coalesce(F.sum("s").over(up_to), F.lit(0)))
-        .where("before < rest")
-        .groupBy("source")
-        .agg(F.max("bucket").alias("last"), F.max_by("before", "bucket").alias("before"))
-    )
-    placed = cut.join(F.broadcast(edge), "source", "left")
-    sure = placed.where("bucket < last").withColumn("drawn", F.lit(1))
-    none = placed.where("last IS NULL OR bucket > last").withColumn("drawn", F.lit(0))
-    running = Window.partitionBy("source").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0)
-    border = placed.where("bucket = last").withColumn("drawn", (F.col("before") + F.sum("tokens").over(running) - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    chosen = sure.unionByName(none).unionByName(border).select(F.col("id").alias(key), "source", "tokens", (F.col("epochs") + F.col("drawn")).cast("int").alias("copies")).where("copies > 0")
+    chosen = drawn(docs, sources).select(F.col("id").alias(key), "source", "tokens", (F.col("epochs") + F.col("drawn")).cast("int").alias("copies")).where("copies > 0")
     taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_documents"), F.max("copies").alias("most_copies"))
     report = (
         sources.join(taken, "source", "left")

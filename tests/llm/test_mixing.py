@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from calembour.llm import mixing
 from calembour.llm.mixing import mix
 
 
@@ -55,3 +58,21 @@ def test_empty(spark):
     chosen, report = mix(docs.limit(0), targets)
     assert chosen.count() == 0 and report.count() == 4
     assert mix(docs, targets.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("border", [3, 100_000])
+def test_the_border_is_cut_until_it_is_small(spark, border):
+    rng = random.Random(2)
+    rows = [(i, f"s{i % 3}", rng.randint(1, 9), rng.random() if i % 3 else 0.5) for i in range(3000)]  # the keys of s0 are all the same
+    docs = spark.createDataFrame(rows, "id bigint, source string, tokens bigint, k double")
+    rests = {"s0": 700.0, "s1": 1234.5, "s2": 0.0}
+    sources = spark.createDataFrame([(s, 1, r) for s, r in rests.items()], "source string, epochs int, rest double")
+    got = {r["id"] for r in mixing.drawn(docs, sources, border).where("drawn = 1").collect()}
+    want = set()
+    for s, rest in rests.items():
+        total = 0
+        for _, i, tokens in sorted((k, i, t) for i, source, t, k in rows if source == s):
+            total += tokens
+            if total - tokens / 2 <= rest:
+                want.add(i)
+    assert got == want and got
