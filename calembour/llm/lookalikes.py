@@ -80,6 +80,7 @@ INVISIBLE = re.compile(r"[\u0000-\u0008\u000E-\u001F\u007F-\u0084\u0086-\u009F\u
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n ?")
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036F])*")
+AROUND_WORDS = re.compile(f"({WORD.pattern})")
 #: Compatibility forms that differ in width or joining only; superscripts, circles and the like look different.
 PLAIN = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -92,6 +93,14 @@ def plain(ch: str) -> str:
     return unicodedata.normalize("NFKC", ch) if d.startswith(PLAIN) else ch
 
 
+class Shown(dict):
+    """Translation table of step 1: what is seen of each character in its plain form."""
+
+    def __missing__(self, code: int) -> str:
+        seen = self[code] = INVISIBLE.sub("", plain(chr(code)))
+        return seen
+
+
 @lru_cache(maxsize=65_536)
 def script(ch: str) -> int:
     """0 Latin, 1 Cyrillic, 2 Greek, -1 anything else."""
@@ -105,18 +114,37 @@ def script(ch: str) -> int:
     return -1
 
 
+class Telling(dict):
+    """Translation table that leaves the script number of letters that look like no other script's."""
+
+    def __missing__(self, code: int) -> str:
+        s = script(chr(code))
+        mark = self[code] = "" if s < 0 or chr(code) in IN_SCRIPT else str(s)
+        return mark
+
+
+class Bones(dict):
+    """Translation table of letters to the Latin ones they look like."""
+
+    def __missing__(self, code: int) -> int | str:
+        bone = self[code] = LATIN_OF.get(chr(code), code)
+        return bone
+
+
+SHOWN, TELLING, BONES = Shown(), Telling(), Bones()
+
+
 def visible(text: str) -> str:
     """Step 1, decomposed (NFD)."""
-    t = INVISIBLE.sub("", text)
-    if not t.isascii():
-        t = "".join(map(plain, t))
-        t = INVISIBLE.sub("", t)
-        t = unicodedata.normalize("NFD", t)
+    if text.isascii():
+        t = INVISIBLE.sub("", text)
+    else:
+        t = unicodedata.normalize("NFD", text.translate(SHOWN))
     return LINES.sub("\n", BLANKS.sub(" ", t)).strip()
 
 
 def skeleton(word: str) -> str:
-    return "".join(LATIN_OF.get(c, c) for c in word)
+    return word if word.isascii() else word.translate(BONES)
 
 
 class Scores:
@@ -127,19 +155,19 @@ class Scores:
         self.before = Counter()
         for k, n in counts.items():
             self.before[k[0]] += n
-        self.memo: dict[tuple[str, int], str] = {}
+        self.memo: tuple[dict[str, str], ...] = ({}, {}, {})  # by main script
 
     def step(self, a: str, b: str) -> float:
         return math.log((self.counts.get(a + b, 0) + FLOOR) / (self.before.get(a, 0) + FLOOR * 120))
 
     def best(self, word: str, main: int) -> str:
         """The best path through the lattice of ``word`` (a skeleton); marks ride along."""
-        key = (word, main)
-        got = self.memo.get(key)
+        known = self.memo[main]
+        got = known.get(word)
         if got is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            got = self.memo[key] = self._search(word, main)
+            if len(known) > 200_000:
+                known.clear()
+            got = known[word] = self._search(word, main)
         return got
 
     def _search(self, word: str, main: int) -> str:
@@ -169,9 +197,11 @@ class Scores:
             return None
         t = visible(text)
         bones = skeleton(t)
-        sure = Counter(script(c) for c in bones if c not in IN_SCRIPT)
-        main = max(range(3), key=lambda s: (sure.get(s, 0), -s))
-        out = WORD.sub(lambda m: self.best(m[0], main), bones)
+        sure = bones.translate(TELLING)
+        main = max(range(3), key=lambda s: (sure.count(str(s)), -s))
+        parts = AROUND_WORDS.split(bones)
+        parts[1::2] = [self.best(w, main) for w in parts[1::2]]
+        out = "".join(parts)
         return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 
