@@ -41,6 +41,9 @@ CLOSING = {'"': '"', "“": "”", "«": "»", "'": "'", "‘": "’", "„": "
 MARK = re.compile(r"(?:[-*•·–—▪◦‣][^\S\n]+|\(\d{1,3}\)\s*|\d{1,3}[.)](?=\s|$)\s*)")
 INNER_MARK = re.compile(r"\s(?:\(\d{1,3}\)|\d{1,3}[.)])\s")
 HAS_SEPARATOR = re.compile("[" + re.escape(SEPARATORS) + "]")
+#: Where an unquoted stretch can be cut or end; anything else is passed over.
+TURN = re.compile("[\\s«“" + re.escape(SEPARATORS) + "]")
+QUOTE = re.compile("[" + re.escape("".join(CLOSING)) + "]")
 ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.DOTALL)
 ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -193,6 +196,11 @@ def scan(text: str, known: Dictionary | Runs) -> list[tuple[str, bool]]:
         # an unquoted stretch reaches to the next item that begins with a quote, or the end
         cuts, j, start = [], i, i
         while j < n:
+            turn = TURN.search(t, j)
+            if not turn:
+                j = n
+                break
+            j = turn.start()
             m = INNER_MARK.match(t, j)
             if m:
                 cuts.append((j - start, m.end() - start))
@@ -232,6 +240,8 @@ def _quoted_values(df: DataFrame, fields: list[str]) -> DataFrame:
             found: dict[str, int] = {}
             for f in fields:
                 for t in b[f].dropna():
+                    if not QUOTE.search(t):
+                        continue
                     for v, q in scan(t, none):
                         if q and (v := v.strip()):
                             found[v] = found.get(v, 0) + 1
