@@ -77,7 +77,8 @@ LATIN_OF = {c: latin for latin, others in ALIKE.items() for group in others for
 IN_SCRIPT = {latin: (latin, others[0] or None, others[1] or None) for latin, others in ALIKE.items()}
 
 INVISIBLE = re.compile(r"[\u0000-\u0008\u000E-\u001F\u007F-\u0084\u0086-\u009F\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180B-\u180F\u200B-\u200F\u202A-\u202E\u2060-\u206F\u3164\uFE00-\uFE0F\uFEFF\uFFA0\uFFF9-\uFFFB\U000E0000-\U000E0FFF]")
-BLANKS = re.compile(r"[^\S\n]+")
+#: Blanks that are not a single space already; line breaks stay.
+BLANKS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
 LINES = re.compile(r" ?\n ?")
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036F])*")
 AROUND_WORDS = re.compile(f"({WORD.pattern})")
@@ -140,7 +141,8 @@ def visible(text: str) -> str:
         t = INVISIBLE.sub("", text)
     else:
         t = unicodedata.normalize("NFD", text.translate(SHOWN))
-    return LINES.sub("\n", BLANKS.sub(" ", t)).strip()
+    t = BLANKS.sub(" ", t)
+    return (LINES.sub("\n", t) if "\n" in t else t).strip()
 
 
 def skeleton(word: str) -> str:
@@ -197,8 +199,10 @@ class Scores:
             return None
         t = visible(text)
         bones = skeleton(t)
-        sure = bones.translate(TELLING)
-        main = max(range(3), key=lambda s: (sure.count(str(s)), -s))
+        main = 0
+        if not bones.isascii():
+            sure = bones.translate(TELLING)
+            main = max(range(3), key=lambda s: (sure.count(str(s)), -s))
         parts = AROUND_WORDS.split(bones)
         parts[1::2] = [self.best(w, main) for w in parts[1::2]]
         out = "".join(parts)
