@@ -206,5 +206,7 @@ TEMPLATES = {
     "generate": "Write one French sentence that puns on %s or %s, close to: %s\nAnswer with JSON: {\"generated_pun\": ...}",
     "homonym": "Is %s a homonym in French, and do its senses overlap with %s and %s? Answer with JSON flags 0 or 1.",
     "judge": "%s\nDoes the next text contain a pun? %s\nAnswer with JSON: {\"is_pun\": 0 or 1}",
+    "back_translate": "Translate every value from %s into English and keep the JSON keys.\n%s",
+    "evaluate": "Rate the %s of this French pun.\nSource: %s\nPun: %s\nAnswer with two lines: Rating: <number> and Justification: <text>",
     "refine": "Improve this French pun.\nSource: %s\nCurrent: %s\n%s\nReturn only the new sentence.",
 }

@@ -29,6 +29,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def mean(vectors: Column) -> Column:
+    """The mean of a list of vectors; null for an empty list."""
+    rest = F.slice(vectors, F.lit(2), F.greatest(F.size(vectors) - 1, F.lit(0)))
+    total = F.aggregate(rest, _d(F.get(vectors, F.lit(0))), lambda a, v: F.zip_with(a, _d(v), lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(vectors))
+
+
 def clamped(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

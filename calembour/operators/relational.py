@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +89,19 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), key)), ["__h", key]).drop("__h")
 
 
+def sliced(df: DataFrame, order: list[str], ranges: list[tuple[int, int]]) -> DataFrame:
+    """Rows at the positions ``start`` to ``end`` - 1 of each range, in the order of ``order``; ``position`` is kept."""
+    at = F.col("position")
+    return numbered(df, order).where(reduce(or_, [(at >= a) & (at < b) for a, b in ranges], F.lit(False)))
+
+
+def random_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of both sides drawn without replacement and put side by side, in the scattered order of their keys; the longer side's rest is left out."""
+    a = numbered(left.withColumn("__o", portable_order(left_key)), ["__o", left_key]).drop("__o")
+    b = numbered(right.withColumn("__o", portable_order(right_key)), ["__o", right_key]).drop("__o")
+    return a.join(b, "position").drop("position")
+
+
 def chunked(df: DataFrame, order: str, size: int, start: int = 0, end: int = -1) -> DataFrame:
     """``df`` with ``chunk_id`` = order div size, chunks ``start`` to ``end`` (-1: all; beyond the last: as far as there are any)."""
     out = df.withColumn("chunk_id", F.floor(F.col(order) / size).cast("int"))

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calembour.functions.vectors import normalised
 from calembour.operators.layout import frames, spread
 
 #: Queries in one block; at 1,000 dimensions a block has 16 MB.
@@ -76,6 +77,15 @@ def top_k(corpus: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def save_index(df: DataFrame, folder: str, key: str = "vec_id", vector: str = "embedding") -> None:
+    """Unit vectors by key as Parquet: what ``top_k`` with ``unit=False`` takes for cosine search."""
+    df.select(key, normalised(F.col(vector)).alias(vector)).write.mode("overwrite").parquet(folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def words_by_similarity(vocabulary: DataFrame, wanted: DataFrame, word: str = "word", key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """The k words nearest to each wanted word. A repeated word stands for its last row; unknown words give no row."""
     last = vocabulary.groupBy(word).agg(F.max(key).alias(key))

@@ -86,7 +86,20 @@ def similarity_summary(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-@query()
+_MEANINGS = ("first_meaning", "second_meaning", "first_meaning_fr", "second_meaning_fr")
+_COSINE = "list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+_SIMILARITIES = {c: _COSINE.format(a=f"v_pun_word{c[-3:] if c.endswith('_fr') else ''}", b=f"v_{c}") for c in _MEANINGS}
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT unnest([pun_word, pun_word_fr, {", ".join(_MEANINGS)}]) AS word FROM translated),
+n AS (SELECT word, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % (SELECT greatest(count(*), 1) FROM embeddings) AS vec_id FROM w WHERE word IS NOT NULL),
+v AS (SELECT word, CAST(embedding AS DOUBLE[]) AS v FROM n JOIN embeddings ON n.vec_id = embeddings.vec_id),
+s AS (SELECT rec_id, {", ".join(f"{e} AS {c}" for c, e in _SIMILARITIES.items())} FROM (SELECT rec_id, {", ".join(f"{c}.v AS v_{c}" for c in ("pun_word", "pun_word_fr", *_MEANINGS))} FROM translated t
+  {" ".join(f"LEFT JOIN v {c} ON {c}.word = t.{c}" for c in ("pun_word", "pun_word_fr", *_MEANINGS))}))
+SELECT rec_id, round(first_meaning, 6) AS first_similarity_en, round(second_meaning, 6) AS second_similarity_en, round(first_meaning_fr, 6) AS first_similarity_fr, round(second_meaning_fr, 6) AS second_similarity_fr,
+  round(first_meaning - first_meaning_fr, 6) AS first_difference, round(second_meaning - second_meaning_fr, 6) AS second_difference FROM s
+""")
 def meaning_similarities(spark, sf_dir):
     """Six similarities of the translated records; words stand for the vectors of their numbers."""
     df = table(spark, sf_dir, "translated")
@@ -94,7 +107,7 @@ def meaning_similarities(spark, sf_dir):
     parts = ["pun_word", "pun_word_fr", "first_meaning", "second_meaning", "first_meaning_fr", "second_meaning_fr"]
     words = df.select(F.explode(F.array(*parts)).alias("word")).where("word IS NOT NULL").distinct()
     size = v.count()
-    named = words.withColumn("vec_id", F.pmod(F.xxhash64("word"), F.lit(max(size, 1)))).join(v.select("vec_id", "embedding"), "vec_id").select("word", "embedding")
+    named = words.withColumn("vec_id", F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % F.lit(max(size, 1))).join(v.select("vec_id", "embedding"), "vec_id").select("word", "embedding")
     lists = df.select("rec_id", "pun_word", "pun_word_fr", *(F.array_compact(F.array(p)).alias(p) for p in parts[2:]))
     out = pipelines.similarity(lists, named)
     return out.select("rec_id", *(F.round(c, 6).alias(c) for c, t in out.dtypes if t == "double"))
@@ -170,7 +183,15 @@ def weighted_alignment(spark, sf_dir):
     return p.select("a", "b", F.round(S.alignment_score(F.col("ga"), F.col("gb"), bigram_similarity), 6).alias("similarity"))
 
 
-@query()
+_MARKS = ", ".join(f"('{k}', '{v}')" for k, v in SOUNDS.items())
+
+
+@query(f"""
+WITH s(letter, marks) AS (VALUES {_MARKS}), l AS (SELECT DISTINCT unnest(string_split(lower(pun_word), '')) AS letter FROM translated),
+m AS (SELECT l.letter, coalesce(marks, repeat('0', {len(SOUND_NAMES)})) AS marks FROM l LEFT JOIN s ON s.letter = l.letter WHERE l.letter <> '')
+SELECT letter, array_to_string(list_transform(string_split(marks, ''), lambda x: CASE x WHEN '+' THEN '1' WHEN '-' THEN '-1' ELSE '0' END), ',') AS signs,
+  array_to_string(list_transform(list_filter(range(1, {len(SOUND_NAMES) + 1}), lambda i: marks[i] = '+'), lambda i: {SOUND_NAMES}[i]), ',') AS names FROM m
+""")
 def sound_vectors(spark, sf_dir):
     """Signs of the sound features of each letter of the pun words."""
     letters = table(spark, sf_dir, "translated").select(F.explode(F.split(F.lower("pun_word"), "")).alias("letter")).where("letter <> ''").distinct()
@@ -246,11 +267,16 @@ def _seeds(spark, sf_dir):
     return df.join(before, "id")
 
 
+def shared_translations(dictionary):
+    """Words with a French word in common, as synonyms."""
+    pairs = dictionary.select("fr", F.col("en").alias("word")).join(dictionary.select("fr", F.col("en").alias("synonym")), "fr")
+    return pairs.where("word <> synonym").select("word", "synonym").distinct()
+
+
 @query()
 def polygon_cascade(spark, sf_dir):
-    synonyms = _dictionary(spark, sf_dir)
-    same = synonyms.select("fr", F.col("en").alias("word")).join(synonyms.select("fr", F.col("en").alias("synonym")), "fr").where("word <> synonym").select("word", "synonym").distinct()
-    return lexicon.polygons(_seeds(spark, sf_dir), _dictionary(spark, sf_dir), _lexicon(spark, sf_dir), _related(spark, sf_dir), same).withColumn("confidence", F.round("confidence", 6))
+    d = _dictionary(spark, sf_dir)
+    return lexicon.polygons(_seeds(spark, sf_dir), d, _lexicon(spark, sf_dir), _related(spark, sf_dir), shared_translations(d)).withColumn("confidence", F.round("confidence", 6))
 
 
 def _vocabulary(spark, sf_dir):
@@ -265,7 +291,7 @@ def _sentences(spark, sf_dir):
 
 @query("""
 WITH w AS (SELECT ord, unnest(list_distinct(regexp_extract_all(lower(text_clean), '[a-z'']+'))) AS word FROM cleaned_en),
-v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 3), x AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM v) AND length(word) BETWEEN 4 AND 64),
+v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 3), x AS (SELECT DISTINCT word FROM w WHERE word NOT IN (SELECT word FROM v) AND length(word) >= 4),
 s AS (SELECT word, i, n, substr(word, i, n) AS sub FROM (SELECT word, i, unnest(range(4, length(word) - i + 2)) AS n FROM (SELECT word, unnest(range(1, length(word) - 2)) AS i FROM x)))
 SELECT word, sub FROM s WHERE sub IN (SELECT word FROM v) QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, i) = 1
 """)
@@ -282,15 +308,19 @@ def closest_word(spark, sf_dir):
     return lexicon.closest_words(words, known)
 
 
-@query()
-def detected_puns(spark, sf_dir):
-    """Unknown words first; else the word with the two senses farthest apart (senses: the meanings noted for it)."""
+def sense_distances(spark, sf_dir):
+    """The first ten senses of each pun word (the meanings noted for it), and how far the senses of a word are apart."""
     noted = table(spark, sf_dir, "translated").select(F.lower("pun_word").alias("word"), "rec_id", F.explode(F.array("first_meaning", "second_meaning")).alias("label")).where("label <> ''")
     senses = noted.groupBy("word", "label").agg(F.min("rec_id").alias("ord")).withColumn("sense", F.concat_ws(".", "word", "label"))
     ten = relational.per_key_limit(senses, ["word"], [F.col("ord"), F.col("label")], 10)
     a, b = ten.select("word", F.col("sense").alias("s1"), F.col("label").alias("l1")), ten.select("word", F.col("sense").alias("s2"), F.col("label").alias("l2"))
-    far = a.join(b, "word").where("s1 <> s2").select("s1", "s2", F.levenshtein("l1", "l2").alias("d"))
-    return lexicon.detected_puns(_sentences(spark, sf_dir), _vocabulary(spark, sf_dir), ten, far, "ord", "text_clean")
+    return ten, a.join(b, "word").where("s1 <> s2").select("s1", "s2", F.levenshtein("l1", "l2").alias("d"))
+
+
+@query()
+def detected_puns(spark, sf_dir):
+    """Unknown words first; else the word with the two senses farthest apart."""
+    return lexicon.detected_puns(_sentences(spark, sf_dir), _vocabulary(spark, sf_dir), *sense_distances(spark, sf_dir), "ord", "text_clean")
 
 
 @query("""

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour import schemas
-from calembour.functions.text import clean_text, prompt
-from calembour.functions.vectors import cosine
-from calembour.operators import metrics, providers, relational
+from calembour.functions.text import TEMPLATES, clean_text, prompt
+from calembour.functions.vectors import cosine, mean
+from calembour.operators import lexicon, panel, providers, relational
+from calembour.operators.layout import frames, spread
+from calembour.session import checkpointed
 
 
 def clean_en(translation: DataFrame, order: str = "ord") -> DataFrame:
@@ -59,22 +65,84 @@ def translate(df: DataFrame, model: providers.Provider | None, recorded: DataFra
     return providers.parsed(providers.ask(asked, "prompt", model, recorded), schemas.TRANSLATED).drop("prompt", "response")
 
 
+def back_translate(df: DataFrame, model: providers.Provider | None, recorded: DataFrame | None = None, language: str = "French") -> DataFrame:
+    """The translated fields in English again, under their names with ``_back`` behind."""
+    fields = schemas.TRANSLATED.replace("_fr ", "_back ")
+    values = F.to_json(F.struct(*(F.col(f.split()[0]).alias(f.split()[0].replace("_fr", "_back")) for f in schemas.TRANSLATED.split(", "))))
+    asked = df.withColumn("prompt", prompt("back_translate", language=F.lit(language), values=values))
+    return providers.parsed(providers.ask(asked, "prompt", model, recorded), fields).drop("prompt", "response")
+
+
+def refine(df: DataFrame, model: providers.Provider, key: str, source: str, text: str, most: int = panel.MOST_ROUNDS, thresholds: dict[str, int] | None = None) -> DataFrame:
+    """``key``, ``iteration``, ``evaluator``, ``response``, ``text``: the full trace of rating and rewriting each ``text``.
+
+    A round asks every evaluator; unless all ratings meet their thresholds the text is
+    rewritten with the feedback, ``most`` rounds at most. The rows of a batch go through
+    a round together, so a model sees one request list per evaluator and round.
+    """
+    need = thresholds or panel.THRESHOLDS
+    rows = spread(df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL"))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def accepted(answers: dict[str, str]) -> bool:
+        ratings = {e: re.search(r"Rating:\s*(\d+)", a or "") for e, a in answers.items()}
+        return all(m and int(m[1]) >= need[e] for e, m in ratings.items())
+
+    def notes(answers: dict[str, str]) -> str:
+        found = {e: re.search(r"Justification:\s*(.*)", a or "", re.DOTALL) for e, a in answers.items()}
+        return "KEY FEEDBACK:\n" + "\n\n".join(f"{e}: {m[1].strip() if m else 'No justification'}" for e, m in found.items())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            open_ = [(k, s if isinstance(s, str) else "", t) for k, s, t in zip(b["k"], b["s"], b["t"], strict=True)]
+            trace = []
+            for i in range(1, most + 1):
+                answers = {e: model.answer([TEMPLATES["evaluate"] % (e, s, t) for _, s, t in open_]) for e in need}
+                rejected = []
+                for n, (k, s, t) in enumerate(open_):
+                    mine = {e: a[n] for e, a in answers.items()}
+                    trace += [(k, i, e, a, t) for e, a in mine.items()]
+                    if not accepted(mine):
+                        rejected.append((k, s, t, notes(mine)))
+                if not rejected or i == most:
+                    break
+                better = model.answer([TEMPLATES["refine"] % (s, t, f) for _, s, t, f in rejected])
+                open_ = [(k, s, new) for (k, s, _, _), new in zip(rejected, better, strict=True)]
+            yield pd.DataFrame(trace, columns=["k", "iteration", "evaluator", "response", "text"]).astype({"k": b["k"].dtype})
+
+    return rows.mapInPandas(frames(run), f"k {kind}, iteration int, evaluator string, response string, text string").withColumnRenamed("k", key)
+
+
+def translate_puns(sentences: DataFrame, key: str, text: str, vocabulary: DataFrame, senses: DataFrame, distances: DataFrame, dictionary: DataFrame, words: DataFrame, related: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """``key``, ``kind``, ``word``, ``level``, ``pun``, ``confidence``, ``sentence`` of every sentence.
+
+    The detector names a word and two meanings, the cascade looks for a French word that
+    serves both, and the sentence is rewritten around it. Without a pun (``kind`` null),
+    or without a hit, the words are translated one by one.
+    """
+    found = checkpointed(lexicon.detected_puns(sentences, vocabulary, senses, distances, key, text))
+    solved = lexicon.polygons(found.select(F.col(key).alias("id"), "m1", "m2"), dictionary, words, related, synonyms).withColumnRenamed("id", key)
+    known = checkpointed(sentences.select(key, text).join(found.select(key, "kind", "word"), key, "left").join(solved, key, "left"))
+    told = known.withColumn("__pun", F.coalesce("pun", "fallback"))
+    done = lexicon.rewritten(told.where(F.col(text).isNotNull()), dictionary, key, text, "word", "__pun")
+    return known.select(key, "kind", "word", "level", F.coalesce("pun", "fallback").alias("pun"), "confidence").join(done, key, "left")
+
+
 def similarity(df: DataFrame, vectors: DataFrame) -> DataFrame:
     """Six similarities of pun word and meanings in both languages from ``vectors`` (word, embedding).
 
     A meaning is the mean of its values' vectors; unknown values are left out.
     """
-    def pooled(key: str, values) -> DataFrame:
-        long = df.select("rec_id", F.explode(values).alias("word")).join(vectors, "word")
-        return metrics.mean_pooled(long, "rec_id", "embedding").withColumnRenamed("embedding", key)
-
-    out = df
-    for lang in ("", "_fr"):
-        for part, values in (("word", F.array(f"pun_word{lang}")), ("first", F.col(f"first_meaning{lang}")), ("second", F.col(f"second_meaning{lang}"))):
-            out = out.join(pooled(f"v_{part}{lang}", values), "rec_id", "left")
+    parts = {f"{part}{lang}": values for lang in ("", "_fr") for part, values in (("word", F.array(f"pun_word{lang}")), ("first", F.col(f"first_meaning{lang}")), ("second", F.col(f"second_meaning{lang}")))}
+    named = F.inline(F.array(*(F.struct(F.lit(k).alias("part"), v.alias("values")) for k, v in parts.items())))
+    met = df.select("rec_id", named).select("rec_id", "part", F.explode("values").alias("word")).join(vectors.select("word", "embedding"), "word")
+    # a record's few values meet in one row, for all six parts at once
+    known = met.groupBy("rec_id").agg(F.collect_list(F.struct("part", "embedding")).alias("__met"))
+    pooled = {k: mean(F.transform(F.filter("__met", lambda m: m["part"] == k), lambda m: m["embedding"])).alias(f"v_{k}") for k in parts}  # noqa: B023
+    out = df.join(known.select("rec_id", *pooled.values()), "rec_id", "left")
     out = out.withColumns({f"{p}_similarity{'_en' if lang == '' else lang}": cosine(F.col(f"v_word{lang}"), F.col(f"v_{p}{lang}")) for lang in ("", "_fr") for p in ("first", "second")})
     out = out.withColumns({f"{p}_difference": F.col(f"{p}_similarity_en") - F.col(f"{p}_similarity_fr") for p in ("first", "second")})
-    return out.drop(*(f"v_{p}{lang}" for lang in ("", "_fr") for p in ("word", "first", "second")))
+    return out.drop(*(f"v_{k}" for k in parts))
 
 
 def homonym(df: DataFrame, model: providers.Provider | None, recorded: DataFrame | None = None) -> DataFrame:

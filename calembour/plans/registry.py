@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from calembour.functions.text import words
 from calembour.operators.relational import first_per_key
-from calembour.plans import data_queries, lexicon_queries, text_queries
+from calembour.plans import composite_queries, data_queries, lexicon_queries, text_queries
 
-MODULES = (data_queries, text_queries, lexicon_queries)
+MODULES = (data_queries, text_queries, lexicon_queries, composite_queries)
 
 
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

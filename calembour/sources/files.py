@@ -22,6 +22,13 @@ def filled(df: DataFrame) -> DataFrame:
     return df.na.fill("", [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"])
 
 
+def _one_object_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first written line of JSON is a whole object; only its ends come to the driver."""
+    line = F.trim(F.regexp_replace("value", r"^\x{FEFF}", ""))
+    ends = spark.read.text(path).where(line != "").select(F.left(line, F.lit(1)), F.right(line, F.lit(1))).first()
+    return ends is None or tuple(ends) == ("{", "}")
+
+
 def load(spark: SparkSession, path: str, schema: str | None = None, fill: bool = True, missing: bool = False) -> DataFrame:
     """A table from ``.json`` (an array or one object a line), ``.csv``, ``.tsv``, ``.parquet``; any other file as one text.
 
@@ -30,7 +37,7 @@ def load(spark: SparkSession, path: str, schema: str | None = None, fill: bool =
     kind = path.rstrip("/").rpartition(".")[2].lower()
     read = spark.read if schema is None else spark.read.schema(schema)
     if kind == "json":
-        df = read.option("multiLine", "true").json(path)
+        df = read.option("multiLine", "false" if _one_object_a_line(spark, path) else "true").json(path)
     elif kind in ("csv", "tsv"):
         df = read.option("header", "true").option("sep", "\t" if kind == "tsv" else ",").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
     elif kind == "parquet":

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -96,3 +98,13 @@ def test_cache_and_settings(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("CALEMBOUR_PATH_CLEANED", "y")
     s = load_settings(f"{tmp_path}/c.ini")
     assert s.path["cleaned"] == "y" and s.stage("translate") == "t" and load_settings("absent.ini").model == {}
+
+
+def test_json_as_array_and_by_line(spark, tmp_path):
+    rows = [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]
+    for name, text in (("array", "[\n" + ",\n".join(map(json.dumps, rows)) + "]"), ("one", json.dumps(rows)), ("lines", "\n" + "\n".join(map(json.dumps, rows))), ("pretty", json.dumps(rows[0], indent=1)), ("empty", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+        got = sorted((r["a"], r["b"]) for r in files.load(spark, str(tmp_path / f"{name}.json"), "a int, b string").collect())
+        assert got == {"pretty": [(1, "x")], "empty": []}.get(name, [(1, "x"), (2, "y")]), name
+    files.save(spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string").coalesce(1), str(tmp_path / "saved.json"))
+    assert files.load(spark, str(tmp_path / "saved.json"), "a int, b string").count() == 2
