@@ -98,9 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _NORMAL = "lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g'))"
 
-P1_FOUND = f"""
+_P1 = f"""
 WITH t AS (SELECT ord AS id, {_NORMAL.format(x="en")} AS v FROM translation_en),
-te AS (SELECT id, min(id) OVER (PARTITION BY v) AS keep_id FROM t WHERE v <> ''),
 obj AS (SELECT dump_id, record, unnest(json_keys(record)) AS k FROM (SELECT * FROM joke_dump WHERE trim(record) LIKE '{{%')),
 lines AS (SELECT dump_id, unnest(string_split(record, chr(9))) AS p FROM joke_dump WHERE trim(record) NOT LIKE '{{%'),
 pairs AS (
@@ -111,7 +110,10 @@ wide AS (
     coalesce(max(CASE WHEN k = 'en' THEN {_NORMAL.format(x="v")} END), '') AS a,
     coalesce(max(CASE WHEN k = 'text_clean' THEN {_NORMAL.format(x="v")} END), '') AS b,
     coalesce(max(CASE WHEN k = 'pun_type' THEN {_NORMAL.format(x="v")} END), '') AS c
-  FROM pairs GROUP BY dump_id),
+  FROM pairs GROUP BY dump_id)"""
+
+P1_FOUND = _P1 + """,
+te AS (SELECT id, min(id) OVER (PARTITION BY v) AS keep_id FROM t WHERE v <> ''),
 jd AS (SELECT id, min(id) OVER (PARTITION BY a, b, c) AS keep_id FROM wide WHERE a <> '')
 SELECT 'translation_en' AS tab, keep_id, id AS dup_id FROM te WHERE id <> keep_id
 UNION ALL SELECT 'joke_dump', keep_id, id FROM jd WHERE id <> keep_id
@@ -123,6 +125,35 @@ SELECT min(ord) AS keep_id, count(*) AS copies FROM t WHERE v <> '' GROUP BY v
 UNION ALL SELECT ord, 1 FROM t WHERE v IS NULL OR v = ''
 """
 
+P1_COPIES = _P1 + """
+SELECT 'translation_en' AS tab, min(id) AS keep_id, count(*) AS copies FROM t WHERE v <> '' GROUP BY v
+UNION ALL SELECT 'translation_en', id, 1 FROM t WHERE v IS NULL OR v = ''
+UNION ALL SELECT 'joke_dump', min(id), count(*) FROM wide WHERE a <> '' GROUP BY a, b, c
+UNION ALL SELECT 'joke_dump', dump_id, 1 FROM joke_dump WHERE dump_id NOT IN (SELECT id FROM wide WHERE a <> '')
+"""
+
+
+_UNSEEN = r"[\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
+_BLANK = r"[ \t\r\f\v\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
+_WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F) if chr(c) != "'"}
+
+
+def _look(text: str) -> str:
+    """SQL of what the eye sees: characters without a look go, wide and look-alike letters become plain ones, accents are composed."""
+    x = f"replace(regexp_replace({text}, '{_UNSEEN}', '', 'g'), '…', '...')"
+    for pairs in (_WIDE, lookalikes.LATIN_OF):
+        x = f"translate({x}, '{''.join(pairs)}', '{''.join(pairs.values())}')"
+    x = f"regexp_replace(regexp_replace({x}, '{_BLANK}', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    return f"nfc_normalize(trim({x}, ' ' || chr(10)))"
+
+
+P4_FOUND = f"""
+WITH t AS (
+  SELECT 'text_clean' AS field_name, ord, text_clean AS t, {_look("text_clean")} AS look FROM cleaned_en
+  UNION ALL SELECT 'text_fr', ord, text_fr, {_look("text_fr")} FROM translation_fr)
+SELECT a.field_name, a.ord AS a_ord, b.ord AS b_ord FROM t a JOIN t b ON a.field_name = b.field_name AND a.look = b.look AND a.ord < b.ord AND a.t <> b.t WHERE a.look <> ''
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_collapsed": P1_COLLAPSED}
+    return {"p1_found": P1_FOUND, "p1_collapsed": P1_COLLAPSED, "p1_copies": P1_COPIES, "p4_found": P4_FOUND}
