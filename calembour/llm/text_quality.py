@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from calembour.operators.layout import frames, spread
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+#: Words are taken whole, so that a joined one counts once.
+THREE_WORDS = re.compile(rf"(?:(?>{WORD.pattern})[\W\d_]+){{2}}[^\W\d_]")
 BULLET = re.compile(r"\s*(?:[-*•·–—▪◦+]\s+|\[[ xX✓]?\]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)]\s+)")
 GRID = re.compile(r"\s*[+|]?[\s\-=+|:]{4,}\s*$")
-TERMINAL = re.compile(r"[.!?…。！？][\"'”»’)\]*_]*$")
+ENDS, CLOSERS = frozenset(".!?…。！？"), "\"'”»’)]*_"
 SENTENCE = re.compile(r"[^.!?…。！？]*[.!?…。！？]+[\"'”»’)\]]*")
 TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
-HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+NUMBER = re.compile(r"(?<!\S)(?:(?=\S*\d)[0-9a-fA-F]{5,}|\d{4,})(?!\S)")
+LONG = re.compile(r"\S{41,}")
 HEX = re.compile(r"^(?=.*\d)[0-9a-fA-F]{5,}$|^\d{4,}$")
 DAMAGE = re.compile("�|[ÃÂâÅ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ©®§¤¬¨¹ª´]|[\u0080-\u009f]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -61,6 +64,11 @@ STATISTICS = {
 }
 
 
+def ends_sentence(text: str) -> bool:
+    """Whether a text without blanks at its end ends a sentence, quotes and brackets behind it aside."""
+    return text.rstrip(CLOSERS)[-1:] in ENDS
+
+
 def cells(line: str) -> tuple[str, int]:
     """The separator of a table row and its number of cells; ('', 0) if it looks like none."""
     s = line.strip()
@@ -73,7 +81,7 @@ def cells(line: str) -> tuple[str, int]:
     if line.count(";") > 1 and "; " not in line.strip(";"):
         return ";", line.count(";") + 1
     wide = re.split(r"\s{2,}", s)
-    if len(wide) > 2 and not TERMINAL.search(s):
+    if len(wide) > 2 and not ends_sentence(s):
         return "  ", len(wide)
     if line.count(" | ") > 1:
         return " | ", line.count(" | ") + 1
@@ -103,7 +111,7 @@ def is_item(line: str) -> bool:
     words = WORD.findall(body)
     if not body or not words and not any(c.isdigit() for c in body):
         return bool(m)
-    if TERMINAL.search(body) and len(words) > 3:
+    if ends_sentence(body) and len(words) > 3:
         return False
     return len(words) <= (10 if m else 6)
 
@@ -111,8 +119,8 @@ def is_item(line: str) -> bool:
 def run_together(text: str) -> int:
     """The number of short items on one line between separators; 0 if that is not what the line is."""
     for sep in (" · ", " • ", " | ", " / ", "; ", ", "):
-        parts = [p.strip() for p in re.split(r"\s*" + re.escape(sep.strip()) + r"\s*", text)]
-        if len(parts) >= 4:
+        if text.count(sep.strip()) >= 3:
+            parts = [p.strip() for p in text.split(sep.strip())]
             sizes = [len(p.split()) for p in parts]
             if sum(sizes) / len(sizes) <= 4.5 and max(sizes) <= 9 and not re.search(r"[.!?…]\s+\w", text):
                 return len(parts)
@@ -146,10 +154,10 @@ class Layout:
         width = max(map(len, lines))
         for k, (x, r) in enumerate(zip(lines, rows, strict=True)):
             s = x.strip()
-            before_full = k and width > 50 and len(lines[k - 1]) >= 0.72 * width and not TERMINAL.search(lines[k - 1].strip())
+            before_full = k and width > 50 and len(lines[k - 1]) >= 0.72 * width and not ends_sentence(lines[k - 1].strip())
             if r:
                 flow = flow and (blocks.append(flow) or "")
-            elif not (flow and before_full) and (is_item(x) or (not TERMINAL.search(s) and run_together(s))):
+            elif not (flow and before_full) and (is_item(x) or (not ends_sentence(s) and run_together(s))):
                 flow = flow and (blocks.append(flow) or "")
                 items += len(s)
                 n_items += run_together(s) or 1
@@ -162,13 +170,12 @@ class Layout:
         self.sentences: list[str] = []
         self.in_sentences = 0
         for b in blocks:
-            if not (TERMINAL.search(b) or SENTENCE.search(b)) and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
+            if not (ends_sentence(b) or SENTENCE.search(b)) and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
                 items += len(b)
                 n_items += parts
                 continue
             for m in SENTENCE.findall(b):
-                n = len(WORD.findall(m))
-                if n >= 3 or (n and len(CJK.findall(m)) > 4) or len(CJK.findall(m)) > 6:
+                if THREE_WORDS.search(m) or (cjk := len(CJK.findall(m))) > 6 or (cjk > 4 and WORD.search(m)):
                     self.sentences.append(m.strip())
                     self.in_sentences += len(m.strip())
         self.items, self.n_items = items, n_items
@@ -182,13 +189,9 @@ def doubled(parts: list[str]) -> float:
     return 1 - len(set(parts)) / len(parts) if parts else 0.0
 
 
-def is_odd(token: str) -> bool:
-    """Whether a token is a number, a hash or another long run that nobody reads."""
-    if len(token) < 4:
-        return False
-    if (token[0] in HEX_DIGITS or not token[0].isascii()) and HEX.match(token):
-        return True
-    return len(token) > 40 and token.isascii() and token.count("-") < 3 and not re.search(r"[;,|]", token)
+def odd_tokens(text: str) -> int:
+    """The number of tokens that are numbers, hashes or other long runs that nobody reads."""
+    return len(NUMBER.findall(text)) + sum(k.isascii() and k.count("-") < 3 and not re.search(r"[;,|]", k) and not HEX.match(k) for k in LONG.findall(text))
 
 
 def top_gram(words: list[str]) -> tuple[tuple[str, ...], int]:
@@ -215,14 +218,13 @@ def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
     tags = sum(map(len, TAG.findall(t))) if "<" in t else 0
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n", t) if p.strip()]
     gram, times = top_gram(lower)
-    odd = sum(map(is_odd, tokens))
     return {
         "n_words": len(words),
         "n_sentences": len(laid.sentences),
         "n_items": laid.n_items,
         "mean_word_length": word_letters / len(words) if words else 0.0,
         "symbol_ratio": 1 - letters / visible if visible else 0.0,
-        "punctuated_lines": sum(bool(TERMINAL.search(x.strip())) for x in lines) / len(lines),
+        "punctuated_lines": sum(ends_sentence(x.strip()) for x in lines) / len(lines),
         "common_words": sum(w in common or ("'" in w and w.split("'")[0] in common) for w in lower) / len(lower) if lower else 0.0,
         "duplicate_lines": doubled([x.strip() for x in lines]),
         "duplicate_paragraphs": doubled(paragraphs),
@@ -234,7 +236,7 @@ def statistics(text: str | None, common: frozenset[str]) -> dict[str, float]:
         "markup_share": tags / size,
         "damage_share": 0.0 if t.isascii() else len(DAMAGE.findall(t)) / max(1, len(tokens)),
         "distinct_words": len(set(lower)) / len(lower) if lower else 0.0,
-        "odd_tokens": odd / max(1, len(tokens)),
+        "odd_tokens": odd_tokens(t) / max(1, len(tokens)),
     }
 
 
