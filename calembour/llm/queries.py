@@ -135,14 +135,18 @@ UNION ALL SELECT 'joke_dump', dump_id, 1 FROM joke_dump WHERE dump_id NOT IN (SE
 
 _UNSEEN = r"[\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]"
 _BLANK = r"[ \t\r\f\v\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
-_WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F) if chr(c) != "'"}
+_WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+_JOINED = {"…": "...", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
 def _look(text: str) -> str:
     """SQL of what the eye sees: characters without a look go, wide and look-alike letters become plain ones, accents are composed."""
-    x = f"replace(regexp_replace({text}, '{_UNSEEN}', '', 'g'), '…', '...')"
+    quoted = lambda letters: "'" + "".join(letters).replace("'", "''") + "'"
+    x = f"regexp_replace({text}, '{_UNSEEN}', '', 'g')"
+    for joined, letters in _JOINED.items():
+        x = f"replace({x}, '{joined}', '{letters}')"
     for pairs in (_WIDE, lookalikes.LATIN_OF):
-        x = f"translate({x}, '{''.join(pairs)}', '{''.join(pairs.values())}')"
+        x = f"translate({x}, {quoted(pairs)}, {quoted(pairs.values())})"
     x = f"regexp_replace(regexp_replace({x}, '{_BLANK}', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
     return f"nfc_normalize(trim({x}, ' ' || chr(10)))"
 
