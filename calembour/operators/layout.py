@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from calembour.session import ship
 
 
+def carried(df: DataFrame, key: str) -> tuple[Column, str, str]:
+    """``key`` as Python may carry it, its type on the way and its own type.
+
+    Whole numbers go as text: pandas would turn them into floats beside a null, and large
+    ones into their neighbours.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    way = "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+    return F.col(f"`{key}`").cast(way), way, kind
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import carried, frames, spread
 from calembour.operators.skew import salted_join
 from calembour.session import checkpointed
 
@@ -269,7 +269,8 @@ def unpack_values(df: DataFrame, key: str, fields: list[str], dictionary: list[s
         if (learnt.agg(F.sum(F.length("value")).alias("n")).first()["n"] or 0) > MOST_SENT:
             return _unpack_joined(df, key, fields, learnt)
         values = [r["value"] for r in learnt.toLocalIterator()]
-    source = spread(df.select(F.col(key).alias("k"), *(F.col(f).cast("string").alias(f) for f in fields)))
+    carry, way, kind = carried(df, key)
+    source = spread(df.select(carry.alias("k"), *(F.col(f).cast("string").alias(f) for f in fields)))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Dictionary(values)
@@ -284,13 +285,14 @@ def unpack_values(df: DataFrame, key: str, fields: list[str], dictionary: list[s
                         found.append(v)
             yield pd.DataFrame({"k": pd.Series(keys, dtype=b["k"].dtype), "field_name": names, "pos": pd.Series(places, dtype="int32"), "value": found})
 
-    return source.mapInPandas(frames(split), _schema(source.schema["k"].dataType.simpleString())).withColumnRenamed("k", key)
+    return source.mapInPandas(frames(split), _schema(way)).select(F.col("k").cast(kind).alias(key), "field_name", "pos", "value")
 
 
 def _unpack_joined(df: DataFrame, key: str, fields: list[str], learnt: DataFrame) -> DataFrame:
     """``unpack_values`` with a dictionary of any size: each distinct text gets the known values among its runs of pieces."""
     stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("t")) for f in fields))).alias("x")
-    rows = df.select(F.col(key).alias("k"), stacked).select("k", "x.f", "x.t").where("t IS NOT NULL")
+    carry, way, kind = carried(df, key)
+    rows = df.select(carry.alias("k"), stacked).select("k", "x.f", "x.t").where("t IS NOT NULL")
     rows = checkpointed(rows.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit("b"), "t")}))
     texts = rows.groupBy("h1", "h2").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
     # a value has at most one piece more than it has separators and blanks
@@ -310,7 +312,6 @@ def _unpack_joined(df: DataFrame, key: str, fields: list[str], learnt: DataFrame
     counts = checkpointed(texts.drop("t"))
     known = met.groupBy("h1", "h2").agg(F.collect_list("value").alias("known")).join(counts, ["h1", "h2"])
     both = salted_join(rows, known, ["h1", "h2"], "n", max(1, rows.count()), F.col("k"), how="left", counts=counts)
-    kind = rows.schema["k"].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = Dictionary([])
@@ -324,4 +325,4 @@ def _unpack_joined(df: DataFrame, key: str, fields: list[str], learnt: DataFrame
                     found.append(v)
             yield pd.DataFrame({"k": pd.Series(keys, dtype=b["k"].dtype), "field_name": names, "pos": pd.Series(places, dtype="int32"), "value": found})
 
-    return both.select("k", "f", "t", "known").mapInPandas(frames(split), _schema(kind)).withColumnRenamed("k", key)
+    return both.select("k", "f", "t", "known").mapInPandas(frames(split), _schema(way)).select(F.col("k").cast(kind).alias(key), "field_name", "pos", "value")

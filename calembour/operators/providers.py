@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour.functions.text import json_slice, strict_json
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import carried, frames, spread
 
 
 class Provider(Protocol):
@@ -86,8 +86,8 @@ def parsed(df: DataFrame, schema: str, response: str = "response") -> DataFrame:
 
 def loop(df: DataFrame, key: str, text: str, step: Callable[[str, int], tuple[str, bool]], most: int) -> DataFrame:
     """The full trace (``key``, ``iteration``, ``text``, ``stop``) of a rewriting loop, each row's loop in one place."""
-    source = spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
-    kind = source.schema["k"].dataType.simpleString()
+    carry, way, kind = carried(df, key)
+    source = spread(df.select(carry.alias("k"), F.col(text).cast("string").alias("t")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,4 +101,4 @@ def loop(df: DataFrame, key: str, text: str, step: Callable[[str, int], tuple[st
                         break
             yield pd.DataFrame(rows, columns=["k", "iteration", "text", "stop"]).astype({"k": b["k"].dtype})
 
-    return source.mapInPandas(frames(run), f"k {kind}, iteration int, text string, stop boolean").withColumnRenamed("k", key)
+    return source.mapInPandas(frames(run), f"k {way}, iteration int, text string, stop boolean").select(F.col("k").cast(kind).alias(key), "iteration", "text", "stop")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calembour.functions.automata import Automaton, lay_out
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import carried, frames, spread
 
 FIELDS = ("id_en", "pun_word", "pun_type", "first_meaning", "second_meaning", "first_context", "chunk")
 LIST_FIELDS = (3, 4, 5)
@@ -161,8 +161,8 @@ def parse_batch(lines: list[str | None]) -> pd.DataFrame:
 
 def parse_records(df: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
     """``key``, the seven typed fields, ``reason`` and ``error_offset``; one row per input row, no shuffle."""
-    source = spread(df.select(F.col(key).alias("k"), F.col(line).cast("string").alias("line")))
-    kind = source.schema["k"].dataType.simpleString()
+    carry, way, kind = carried(df, key)
+    source = spread(df.select(carry.alias("k"), F.col(line).cast("string").alias("line")))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -170,7 +170,7 @@ def parse_records(df: DataFrame, key: str = "line_id", line: str = "line") -> Da
             out.insert(0, "k", b["k"].to_numpy())
             yield out
 
-    return source.mapInPandas(frames(parse), f"k {kind}, {RESULT}").withColumnRenamed("k", key)
+    return source.mapInPandas(frames(parse), f"k {way}, {RESULT}").select(F.col("k").cast(kind).alias(key), *FIELDS, "reason", "error_offset")
 
 
 def good_records(df: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:

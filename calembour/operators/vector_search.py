@@ -29,12 +29,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def top_k(corpus: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, unit: bool = True) -> DataFrame:
     """``query``, ``neighbour``, ``score``, ``rank``: the k rows most similar to each query, itself left out.
 
-    Ties go to the lesser key. Rows with a null vector are neither found nor asked; a
+    Ties go to the lesser key. Rows with a null vector or key are neither found nor asked; a
     table with fewer rows gives fewer. ``queries`` is read on the driver block by block
     and must be a stated, small set.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key)
-    source = spread(corpus.where(F.col(vector).isNotNull()).select(F.col(key).alias("n"), F.col(vector).alias("v")))
+    asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector).orderBy(key)
+    source = spread(corpus.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("n"), F.col(vector).alias("v")))
     parts, block = [], []
 
     def search(rows: list) -> DataFrame:

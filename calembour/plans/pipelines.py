@@ -13,7 +13,7 @@ from calembour import schemas
 from calembour.functions.text import TEMPLATES, clean_text, prompt
 from calembour.functions.vectors import cosine, mean
 from calembour.operators import lexicon, panel, providers, relational
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import carried, frames, spread
 from calembour.session import checkpointed
 
 
@@ -81,8 +81,8 @@ def refine(df: DataFrame, model: providers.Provider, key: str, source: str, text
     a round together, so a model sees one request list per evaluator and round.
     """
     need = thresholds or panel.THRESHOLDS
-    rows = spread(df.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL"))
-    kind = rows.schema["k"].dataType.simpleString()
+    carry, way, kind = carried(df, key)
+    rows = spread(df.select(carry.alias("k"), F.col(source).cast("string").alias("s"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL"))
 
     def accepted(answers: dict[str, str]) -> bool:
         ratings = {e: re.search(r"Rating:\s*(\d+)", a or "") for e, a in answers.items()}
@@ -110,7 +110,7 @@ def refine(df: DataFrame, model: providers.Provider, key: str, source: str, text
                 open_ = [(k, s, new) for (k, s, _, _), new in zip(rejected, better, strict=True)]
             yield pd.DataFrame(trace, columns=["k", "iteration", "evaluator", "response", "text"]).astype({"k": b["k"].dtype})
 
-    return rows.mapInPandas(frames(run), f"k {kind}, iteration int, evaluator string, response string, text string").withColumnRenamed("k", key)
+    return rows.mapInPandas(frames(run), f"k {way}, iteration int, evaluator string, response string, text string").select(F.col("k").cast(kind).alias(key), "iteration", "evaluator", "response", "text")
 
 
 def translate_puns(sentences: DataFrame, key: str, text: str, vocabulary: DataFrame, senses: DataFrame, distances: DataFrame, dictionary: DataFrame, words: DataFrame, related: DataFrame, synonyms: DataFrame) -> DataFrame:
