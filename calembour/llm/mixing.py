@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from calembour.llm.text_quality import Layout, doubled
 from calembour.llm.tokenizing import BYTE_BPE_50K, vocabulary
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import carried, frames, spread
 from calembour.session import checkpointed
 
 BUCKETS = 200
@@ -46,8 +46,8 @@ def source_name(column: Column) -> Column:
 
 def sized(df: DataFrame, key: str, text: str, source: str, path: str, seed: int) -> DataFrame:
     """``id``, ``source``, ``tokens``, ``weight`` and the exponential ``k`` of each document with tokens."""
-    rows = spread(df.select(F.col(key).alias("id"), source_name(F.col(source)).alias("source"), F.col(text).cast("string").alias("t")).where("source IS NOT NULL AND t <> ''"))
-    kind = rows.schema["id"].dataType.simpleString()
+    carry, way, kind = carried(df, key)
+    rows = spread(df.select(carry.alias("id"), source_name(F.col(source)).alias("source"), F.col(text).cast("string").alias("t")).where("source IS NOT NULL AND t <> ''"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
@@ -63,7 +63,7 @@ def sized(df: DataFrame, key: str, text: str, source: str, path: str, seed: int)
             yield pd.DataFrame({"id": b["id"], "source": b["source"], "tokens": [len(x) for x in v.encode_batch(texts)], "weight": weights})
 
     u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return rows.mapInPandas(frames(measure), f"id {kind}, source string, tokens bigint, weight double").where("tokens > 0").withColumn("k", -F.log(u) / F.col("weight"))
+    return rows.mapInPandas(frames(measure), f"id {way}, source string, tokens bigint, weight double").where("tokens > 0").withColumn("id", F.col("id").cast(kind)).withColumn("k", -F.log(u) / F.col("weight"))
 
 
 def plan(documents: DataFrame, targets: DataFrame, total: int | None) -> DataFrame:

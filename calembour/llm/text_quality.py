@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import carried, frames, spread
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 #: Words are taken whole, so that a joined one counts once.
@@ -269,9 +269,9 @@ def quality(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: s
     ``common_words`` is a fixed table (a list of the commonest words of each language).
     """
     common = frozenset(r["word"].casefold() for r in common_words.select("word").where("word IS NOT NULL").distinct().toLocalIterator())
-    source = spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
-    kind = source.schema["k"].dataType.simpleString()
-    schema = f"k {kind}, " + ", ".join(f"{n} {t}" for n, t in STATISTICS.items()) + ", kind string"
+    carry, way, own = carried(df, key)
+    source = spread(df.select(carry.alias("k"), F.col(text).cast("string").alias("t")))
+    schema = f"k {way}, " + ", ".join(f"{n} {t}" for n, t in STATISTICS.items()) + ", kind string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -284,7 +284,7 @@ def quality(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: s
             out.insert(0, "k", b["k"].to_numpy())
             yield out
 
-    return source.mapInPandas(frames(run), schema).withColumnRenamed("k", key)
+    return source.mapInPandas(frames(run), schema).select(F.col("k").cast(own).alias(key), *STATISTICS, "kind")
 
 
 def not_prose(df: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
