@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calembour.functions import text as T
-from calembour.operators import panel, providers, relational, vector_search
+from calembour.operators import panel, phonetic, providers, relational, vector_search
 from calembour.plans import lexicon_queries, pipelines
-from calembour.session import ensure_checkpoint_dir
+from calembour.session import checkpointed, ensure_checkpoint_dir
 from calembour.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,18 @@ def _panel(prompt: str) -> str:
     return f"Rating: {min(2, marks) if name == 'equivalence' else panel.THRESHOLDS[name]}\nJustification: {marks} marks"
 
 
+@query()
+def sound_neighbours(spark, sf_dir):
+    """The five words that sound most like every fiftieth word of the French texts, by trained sound vectors."""
+    words = lexicon_queries._lexicon(spark, sf_dir).select("word")
+    placed = phonetic.embedded(relational.numbered(words, ["word"], "vec_id"), phonetic.fit(words, lexicon_queries.SOUNDS))
+    e = checkpointed(placed.select("vec_id", "word", "embedding"))
+    found = vector_search.top_k(e, e.where("vec_id % 50 = 0"))
+    names = e.select("vec_id", "word")
+    named = found.join(names.withColumnsRenamed({"vec_id": "query"}), "query").join(names.withColumnsRenamed({"vec_id": "neighbour", "word": "similar"}), "neighbour")
+    return named.select("word", "similar", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def translated_puns(spark, sf_dir):
     """Detection, cascade and rewriting of every joke, word by word where there is no pun."""
