@@ -218,10 +218,13 @@ lex AS (SELECT * FROM l WHERE length(phon) >= 2)
 """
 
 
-@query(_LEXICON + """
+_HOMOPHONES = """
 SELECT a.word, b.word AS homophone, CAST(row_number() OVER w AS INT) AS rank FROM lex a JOIN lex b ON a.phon = b.phon AND a.word <> b.word
 WINDOW w AS (PARTITION BY a.word ORDER BY b.ord, b.word) QUALIFY row_number() OVER w <= 30
-""")
+"""
+
+
+@query(_LEXICON + _HOMOPHONES)
 def homophones(spark, sf_dir):
     return lexicon.homophones(_lexicon(spark, sf_dir))
 
@@ -273,7 +276,58 @@ def shared_translations(dictionary):
     return pairs.where("word <> synonym").select("word", "synonym").distinct()
 
 
-@query()
+def _strong(least: int, most: int) -> str:
+    return f"(SELECT word, term, ord FROM rel WHERE weight > {least} QUALIFY row_number() OVER (PARTITION BY word ORDER BY ord, term) <= {most})"
+
+
+def _near(most: int) -> str:
+    return f"(SELECT * FROM hom WHERE rank <= {most})"
+
+
+def _first(level: int, chain: str, factor: float) -> str:
+    """The first hit of a chain (id, word to compare, pun, o: the order of its steps) whose word is related to a translation of the second meaning."""
+    return f"""c{level} AS ({chain}),
+s{level} AS (SELECT id, {level} AS level, pun, score * {factor} AS confidence FROM (
+  SELECT c.id, c.pun, c.o, t2.o2, CASE WHEN trim(c.word) = '' OR trim(t2.t2) = '' THEN 0 WHEN lower(trim(c.word)) = lower(trim(t2.t2)) THEN 1
+    ELSE least(1, greatest(coalesce(x.weight, 0), coalesce(y.weight, 0)) / 10) END AS score
+  FROM c{level} c JOIN t2 ON t2.id = c.id LEFT JOIN rel x ON x.word = c.word AND x.term = t2.t2 LEFT JOIN rel y ON y.word = t2.t2 AND y.term = c.word)
+  WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY id ORDER BY o, o2, pun, score) = 1)"""
+
+
+def _open(level: int, source: str = "t1") -> str:
+    return f"(SELECT * FROM {source} WHERE " + " AND ".join(f"id NOT IN (SELECT id FROM s{k})" for k in range(4, level)) + ")"
+
+
+def _best(level: int, most: int) -> str:
+    return f"(SELECT * FROM {_open(level)} QUALIFY row_number() OVER (PARTITION BY id ORDER BY o1) <= {most})"
+
+
+_CASCADE = f"""{_LEXICON},
+hom AS ({_HOMOPHONES}),
+d AS (SELECT lower(pun_word_fr) AS word, rec_id, unnest(list_distinct(list_concat(regexp_extract_all(lower(coalesce(first_meaning_fr, '')), '[a-z'']+'), regexp_extract_all(lower(coalesce(second_meaning_fr, '')), '[a-z'']+')))) AS term FROM translated WHERE pun_word_fr <> ''),
+rel AS (SELECT word, term, CAST(count(*) AS DOUBLE) AS weight, min(rec_id) AS ord FROM d WHERE length(term) >= 3 GROUP BY word, term),
+dic AS (SELECT lower(trim(pun_word)) AS en, lower(pun_word_fr) AS fr, min(rec_id) AS ord FROM translated WHERE pun_word <> '' AND pun_word_fr <> '' GROUP BY 1, 2),
+syn AS (SELECT DISTINCT a.en AS word, b.en AS synonym FROM dic a JOIN dic b ON a.fr = b.fr WHERE a.en <> b.en),
+one AS (SELECT rec_id AS id, lower(trim(pun_word)) AS m FROM translated WHERE pun_word <> ''),
+seed AS (SELECT a.id, a.m AS m1, b.m AS m2 FROM one a JOIN one b ON b.id = a.id - 1),
+t1 AS (SELECT id, m1, coalesce(fr, m1) AS t1, coalesce(ord, 0) AS o1 FROM seed LEFT JOIN dic ON en = m1),
+t2 AS (SELECT id, coalesce(fr, m2) AS t2, coalesce(ord, 0) AS o2 FROM seed LEFT JOIN dic ON en = m2),
+s4 AS (SELECT t1.id, 4 AS level, t1.t1 AS pun, 1.0 AS confidence FROM t1 JOIN t2 ON t1.id = t2.id AND t1.t1 = t2.t2 QUALIFY row_number() OVER (PARTITION BY t1.id ORDER BY o1, o2, t1.t1) = 1),
+{_first(5, f"SELECT id, homophone AS word, homophone AS pun, [o1, rank] AS o FROM {_open(5)} t JOIN hom ON t.t1 = hom.word", 1.0)},
+base AS (SELECT DISTINCT id, m1 AS word FROM {_open(6)}),
+every AS (SELECT id, word AS syn, 0 AS kind FROM base UNION ALL SELECT id, synonym, 1 FROM base JOIN syn USING (word)),
+kept AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY kind, syn) <= 12),
+told AS (SELECT id, kind, syn, coalesce(fr, syn) AS fr, coalesce(ord, 0) AS ord FROM kept LEFT JOIN dic ON en = lower(trim(syn))),
+{_first(6, "SELECT id, homophone AS word, homophone AS pun, (kind, syn, told.ord, rank) AS o FROM told JOIN hom ON told.fr = hom.word", 1.0)},
+{_first(7, f"SELECT id, b.term AS word, h.homophone AS pun, [o1, a.ord, h.rank, b.ord] AS o FROM {_best(7, 3)} t JOIN {_strong(3, 10)} a ON a.word = t.t1 JOIN {_near(10)} h ON h.word = a.term JOIN {_strong(3, 10)} b ON b.word = h.homophone", 0.8)},
+{_first(8, f"SELECT id, g.homophone AS word, g.homophone AS pun, [o1, a.ord, h.rank, b.ord, g.rank] AS o FROM {_best(8, 2)} t JOIN {_strong(4, 5)} a ON a.word = t.t1 JOIN {_near(5)} h ON h.word = a.term JOIN {_strong(4, 5)} b ON b.word = h.homophone JOIN {_near(5)} g ON g.word = b.term", 0.6)},
+hit AS ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(4, 9))}),
+literal AS (SELECT id, min_by(t1, o1) AS literal FROM t1 GROUP BY id)
+SELECT literal.id, CAST(level AS INT) AS level, pun, round(confidence, 6) AS confidence, CASE WHEN level IS NULL THEN literal END AS fallback FROM literal LEFT JOIN hit ON hit.id = literal.id
+"""
+
+
+@query(_CASCADE)
 def polygon_cascade(spark, sf_dir):
     d = _dictionary(spark, sf_dir)
     return lexicon.polygons(_seeds(spark, sf_dir), d, _lexicon(spark, sf_dir), _related(spark, sf_dir), shared_translations(d)).withColumn("confidence", F.round("confidence", 6))
