@@ -176,7 +176,24 @@ def bigram_jaccard(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", F.round(S.jaccard(grams("a"), grams("b")), 6).alias("similarity"))
 
 
-@query()
+_NAMES = "MAP {" + ", ".join(f"'{k}': {[n for n, m in zip(SOUND_NAMES, v, strict=True) if m == '+']}" for k, v in SOUNDS.items()) + "}"
+
+
+def _grams_sql(word: str) -> str:
+    """SQL of the boundary bigrams of a word as lists of feature names."""
+    side = lambda at, edge, mark: f"CASE WHEN i = {edge} THEN ['{mark}'] ELSE coalesce(names[{word}[{at}]], []) END"
+    return f"list_transform(range(0, length({word}) + 1), lambda i: list_distinct(list_concat({side('i', '0', 'beg')}, {side('i + 1', f'length({word})', 'end')})))"
+
+
+@query(f"""
+WITH RECURSIVE p AS ({_PAIRS_SQL}),
+g AS (SELECT a, b, {_grams_sql("a")} AS ga, {_grams_sql("b")} AS gb FROM (SELECT a, b, {_NAMES} AS names FROM p)),
+r AS (SELECT a, b, ga, gb, 0 AS i, list_transform(range(0, len(gb) + 1), lambda x: 0.0::DOUBLE) AS scores FROM g
+  UNION ALL SELECT a, b, ga, gb, i + 1, list_concat([0.0::DOUBLE], list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j]))) FROM (
+    SELECT *, list_transform(range(1, len(gb) + 1), lambda j: greatest(scores[j + 1], scores[j] + CASE WHEN len(list_concat(ga[i + 1], gb[j])) = 0 THEN 0
+      ELSE len(list_intersect(ga[i + 1], gb[j])) / CAST(len(list_distinct(list_concat(ga[i + 1], gb[j]))) AS DOUBLE) END)) AS best FROM r WHERE i < len(ga)))
+SELECT a, b, round(scores[len(scores)] / greatest(len(ga), len(gb)), 6) AS similarity FROM r WHERE i = len(ga)
+""")
 def weighted_alignment(spark, sf_dir):
     """Order-keeping alignment of the sound features of each English and French pun word."""
     p = _pairs(spark, sf_dir).select("a", "b", _bigrams(F.col("a")).alias("ga"), _bigrams(F.col("b")).alias("gb"))
