@@ -72,6 +72,8 @@ ALIKE = {
     "y": ("у", "", ""),
 }
 SCRIPTS = ("latin", "cyrillic", "greek")
+#: A word of Latin letters with at least one that looks like no other script's: its lattice has one path.
+SURELY_LATIN = re.compile(f"(?=.*[{''.join(c for c in 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz' if c not in ALIKE)}])[A-Za-z\u0300-\u036F]+")
 LATIN_OF = {c: latin for latin, others in ALIKE.items() for group in others for c in group}
 #: What each class member looks like in each script.
 IN_SCRIPT = {latin: (latin, others[0] or None, others[1] or None) for latin, others in ALIKE.items()}
@@ -173,6 +175,8 @@ class Scores:
         return got
 
     def _search(self, word: str, main: int) -> str:
+        if SURELY_LATIN.fullmatch(word):
+            return word
         letters = [c for c in word if not "\u0300" <= c <= "\u036F"]
         fixed = {script(c) for c in letters if c not in IN_SCRIPT}
         if len(fixed) == 1:
