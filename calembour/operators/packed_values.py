@@ -180,6 +180,18 @@ def scan(text: str, known: Dictionary | Runs) -> list[tuple[str, bool]]:
         t = t[1:-1].strip()
     out: list[tuple[str, bool]] = []
     i, n = 0, len(t)
+    open_ended: set[str] = set()
+
+    def closed(at: int) -> int:
+        """``closing_at``; a kind of quote that once had no end has none further on, so a text is not searched again and again."""
+        quote = t[at]
+        if quote in open_ended and t[at + 1 : at + 2] != quote:
+            return -1
+        end = closing_at(t, at, n)
+        if end < 0:
+            open_ended.add(quote)
+        return end
+
     while i < n:
         while i < n and (t[i].isspace() or t[i] in SEPARATORS) and not MARK.match(t, i):
             i += 1
@@ -189,7 +201,7 @@ def scan(text: str, known: Dictionary | Runs) -> list[tuple[str, bool]]:
             continue
         if i >= n:
             break
-        if t[i] in CLOSING and (end := closing_at(t, i, n)) > i:
+        if t[i] in CLOSING and (end := closed(i)) > i:
             out.append((unescape(t[i + 1 : end], t[i]), True))
             i = end + 1
             continue
@@ -214,9 +226,9 @@ def scan(text: str, known: Dictionary | Runs) -> list[tuple[str, bool]]:
                     k = m.end()
                 cuts.append((j - start, k - start))
                 j = k
-                if j < n and t[j] in CLOSING and closing_at(t, j, n) > j:
+                if j < n and t[j] in CLOSING and closed(j) > j:
                     break
-            elif t[j] in "«“" and closing_at(t, j, n) > j and j > start and t[j - 1].isspace():
+            elif t[j] in "«“" and j > start and t[j - 1].isspace() and closed(j) > j:
                 break
             else:
                 j += 1

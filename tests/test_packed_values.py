@@ -96,3 +96,8 @@ def test_a_large_dictionary_is_joined_with_the_same_result(spark, monkeypatch, h
     monkeypatch.setattr(skew, "HOT_LEAST", hot)
     joined = unpack_values(df, "rec_id", ["f", "g"])
     assert sorted(tuple(r) for r in joined.collect()) == want != plain and joined.columns == ["rec_id", "field_name", "pos", "value"]
+
+
+@pytest.mark.parametrize("shape", ['"a, ', "'a, ", "«a ", "“a, ", "a, ", '"', "1. ", "- a\n", "[", "\\"])
+def test_long_texts_that_repeat_themselves(shape):
+    split_values(shape * (60_000 // len(shape)), Dictionary(["a, a"]))
