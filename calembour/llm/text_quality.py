@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from calembour.operators.layout import carried, frames, spread
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-#: Words are taken whole, so that a joined one counts once.
-THREE_WORDS = re.compile(rf"(?:(?>{WORD.pattern})[\W\d_]+){{2}}[^\W\d_]")
 BULLET = re.compile(r"\s*(?:[-*•·–—▪◦+]\s+|\[[ xX✓]?\]\s*|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)]\s+)")
 GRID = re.compile(r"\s*[+|]?[\s\-=+|:]{4,}\s*$")
 ENDS, CLOSERS = frozenset(".!?…。！？"), "\"'”»’)]*_"
@@ -170,12 +169,16 @@ class Layout:
         self.sentences: list[str] = []
         self.in_sentences = 0
         for b in blocks:
-            if not (ends_sentence(b) or SENTENCE.search(b)) and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
+            # without this bound a search for the end of a sentence would run to the end of the block from every character
+            last = max(map(b.rfind, ENDS)) + 1
+            if not last and (parts := run_together(re.sub(r"^[^:]{0,40}:\s*", "", b))):
                 items += len(b)
                 n_items += parts
                 continue
-            for m in SENTENCE.findall(b):
-                if THREE_WORDS.search(m) or (cjk := len(CJK.findall(m))) > 6 or (cjk > 4 and WORD.search(m)):
+            while 0 < last < len(b) and b[last] in CLOSERS:
+                last += 1
+            for m in SENTENCE.findall(b[:last]) if last else ():
+                if next(islice(WORD.finditer(m), 2, None), None) or (cjk := len(CJK.findall(m))) > 6 or (cjk > 4 and WORD.search(m)):
                     self.sentences.append(m.strip())
                     self.in_sentences += len(m.strip())
         self.items, self.n_items = items, n_items
