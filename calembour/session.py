@@ -43,13 +43,17 @@ def session_scope(**kwargs):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where neither the setting nor an earlier call chose a folder (tests, a
-    laptop) a temporary one is made.
+    Only where neither the setting nor an earlier call chose a folder, and everything
+    runs on one machine (tests, a laptop), a temporary one is made.
     """
     chosen = spark.sparkContext.getCheckpointDir()
     if chosen:
         return chosen
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calembour-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="calembour-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 

@@ -108,3 +108,13 @@ def test_json_as_array_and_by_line(spark, tmp_path):
         assert got == {"pretty": [(1, "x")], "empty": []}.get(name, [(1, "x"), (2, "y")]), name
     files.save(spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string").coalesce(1), str(tmp_path / "saved.json"))
     assert files.load(spark, str(tmp_path / "saved.json"), "a int, b string").count() == 2
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from calembour.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf={}))
