@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,8 +76,6 @@ CLOSERS = "»”\"')]}’*_`›"
 OPENING = {"«": "»", "“": "”", "(": ")", "[": "]", "{": "}", "‹": "›", "„": "“"}
 COPIED = 0.75
 MIN_TILE = 2
-#: Beginnings of common runs that are looked at one by one.
-MOST_STARTS = 500_000
 
 
 def tokens(text: str) -> list[str]:
@@ -87,59 +85,86 @@ def tokens(text: str) -> list[str]:
 def tiled(a: list[str], b: list[str], least: int = MIN_TILE) -> int:
     """Tokens of ``a`` covered by the tiles of greedy string tiling with ``b``: the longest common run first, each token once.
 
-    Runs are found from an index of short runs, longest first; a run that an earlier
-    tile cut into is offered again with what is left of it.
+    Runs of one length are laid together, the first in ``a`` and then in ``b`` first, so a
+    length costs one pass over what is still free. Tiles of different lengths lie side by
+    side, so there are no more lengths than the square root of twice the tokens; texts
+    that say the same over and over need no other way.
     """
-    import heapq
-
     if not a or not b:
         return 0
     least = min(least, len(a), len(b))
-    at: dict[tuple, list[int]] = {}
-    for j in range(len(b) - least + 1):
-        at.setdefault(tuple(b[j : j + least]), []).append(j)
-    starts = [at.get(tuple(a[i : i + least]), ()) for i in range(len(a) - least + 1)]
-    if sum(map(len, starts)) > MOST_STARTS:
-        return covered_by_short_runs(a, b, least)
-    used_a, used_b = bytearray(len(a)), bytearray(len(b))
-
-    def run(i: int, j: int) -> int:
-        n = 0
-        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
-            n += 1
-        return n
-
-    heap = []
-    for i, ends in enumerate(starts):
-        for j in ends:
-            if i and j and a[i - 1] == b[j - 1]:
-                continue  # inside a run that began earlier
-            heap.append((-run(i, j), i, j))
-    heapq.heapify(heap)
+    if set(zip(*(a[k:] for k in range(least)), strict=False)).isdisjoint(zip(*(b[k:] for k in range(least)), strict=False)):
+        return 0
+    # runs of 2 ** k tokens by number: two of them name a run of any length
+    names: list[tuple[list[int], list[int]]] = []
+    known: dict = {}
+    names.append(tuple([known.setdefault(w, len(known)) for w in s] for s in (a, b)))
+    free_a, free_b = [(0, len(a))], [(0, len(b))]
+
+    def runs(side: int, free: list[tuple[int, int]], n: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        k = n.bit_length() - 1
+        while len(names) <= k:
+            half, seen = 1 << len(names) - 1, {}
+            names.append(tuple([seen.setdefault(p, len(seen)) for p in zip(s, s[half:], strict=False)] for s in names[-1]))
+        s, rest = names[k][side], n - (1 << k)
+        for first, end in free:
+            last = end - n + 1
+            if last > first:
+                yield from zip(range(first, last), zip(s[first:last], s[first + rest : last + rest], strict=True), strict=True)
+
+    def common(n: int) -> bool:
+        mine = {run for _, run in runs(0, free_a, n)}
+        return bool(mine) and any(run in mine for _, run in runs(1, free_b, n))
+
     covered = 0
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        now = run(i, j)
-        if now < least:
-            # a tile took the beginning: what lies behind it may still be free
-            rest = next((k for k in range(1, -n) if not used_a[i + k] and not used_b[j + k]), None)
-            if rest is not None and -n - rest >= least:
-                heapq.heappush(heap, (n + rest, i + rest, j + rest))
-            continue
-        if now < -n:
-            heapq.heappush(heap, (-now, i, j))
-            if -n - now - 1 >= least:
-                heapq.heappush(heap, (n + now + 1, i + now + 1, j + now + 1))
-            continue
-        for k in range(now):
-            used_a[i + k] = used_b[j + k] = 1
-        covered += now
+    most = min(len(a), len(b))
+    while most >= least and common(least):
+        # the longest length of a common run: first by doubling, then by halving
+        low, high = least, most
+        while low < high:
+            n = min(2 * low, high) if high == most else (low + high + 1) // 2
+            if common(n):
+                low = n
+            else:
+                high = n - 1
+        starts: dict[tuple[int, int], deque[int]] = {}
+        for j, run in runs(1, free_b, low):
+            starts.setdefault(run, deque()).append(j)
+        taken, laid_a, laid_b, end = bytearray(len(b)), [], [], 0
+        for i, run in runs(0, free_a, low):
+            if i < end or run not in starts:
+                continue
+            ends = starts[run]
+            # tiles of this length that overlap a run hold its first or its last token
+            while ends and (taken[ends[0]] or taken[ends[0] + low - 1]):
+                ends.popleft()
+            if ends:
+                j, end = ends[0], i + low
+                taken[j : j + low] = b"\1" * low
+                laid_a.append(i)
+                laid_b.append(j)
+        covered += low * len(laid_a)
+        free_a, free_b = without(free_a, laid_a, low, least), without(free_b, sorted(laid_b), low, least)
+        most = min(low - 1, max((e - s for s, e in free_a), default=0), max((e - s for s, e in free_b), default=0))
     return covered
 
 
+def without(free: list[tuple[int, int]], laid: list[int], n: int, least: int) -> list[tuple[int, int]]:
+    """The stretches ``free`` less the tiles of ``n`` tokens that begin at ``laid``; what is shorter than ``least`` is left out."""
+    out, k = [], 0
+    for first, end in free:
+        while k < len(laid) and laid[k] < end:
+            out.append((first, laid[k]))
+            first = laid[k] + n
+            k += 1
+        out.append((first, end))
+    return [(s, e) for s, e in out if e - s >= least]
+
+
 def covered_by_short_runs(a: list[str], b: list[str], least: int) -> int:
-    """Tokens of ``a`` in runs of ``least`` tokens that ``b`` has too, each run of ``b`` used once: what tiling comes to
-    for texts that say the same over and over, whose common runs are too many to list."""
+    """Tokens of ``a`` in runs of ``least`` tokens that ``b`` has too, each run of ``b`` used once.
+
+    Runs of ``b`` may overlap here, so this is no tiling and judges no answer."""
     free = Counter(tuple(b[j : j + least]) for j in range(len(b) - least + 1))
     covered = end = 0
     for i in range(len(a) - least + 1):

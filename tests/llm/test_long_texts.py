@@ -22,3 +22,17 @@ def test_short_runs_cover_what_tiles_cover():
     a, b = ["ha"] * 900 + ["ho"] * 4, ["ha"] * 1000
     assert answer_defects.covered_by_short_runs(a, b, 2) == 900 == answer_defects.tiled(a, b)
     assert answer_defects.covered_by_short_runs(["x", "y", "z"], ["y", "z", "x", "y"], 2) == 3
+
+
+def test_long_texts_are_tiled_like_short_ones():
+    """``b c`` is no run of the answer once ``a b`` has taken its ``b``, however often both are said."""
+    a, b = "a b x b c".split(), "a b c y".split()
+    for times in (1, 20, 900):
+        assert answer_defects.tiled(a * times, b * times) == 2 * times
+        assert not answer_defects.is_copy(b * times, a * times)
+
+
+def test_many_lengths_of_runs():
+    a = [x for n in range(2, 120) for x in (*["a"] * n, f"b{n}")]
+    b = [x for n in range(119, 1, -1) for x in (*["a"] * n, f"c{n}")]
+    assert answer_defects.tiled(a, b) == sum(range(2, 120))
