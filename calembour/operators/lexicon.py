@@ -9,6 +9,8 @@ that a lower level has solved do not enter the next one.
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 from calembour.functions.text import content_tokens
 from calembour.functions.vectors import capped_score
-from calembour.operators.layout import frames, spread
+from calembour.operators.layout import frames
 from calembour.operators.relational import per_key_limit
-from calembour.session import checkpointed
+from calembour.session import checkpointed, ship
 
 LEAST_SIMILARITY = 0.25
 MOST_HOMOPHONES = 30
@@ -145,36 +147,99 @@ def longest_subword(words: DataFrame, vocabulary: DataFrame, least: int = 4) ->
     return stretches.join(known, "sub").groupBy("word").agg(F.max_by("sub", F.struct("n", -F.col("i"))).alias("sub"))
 
 
-def closest_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.78) -> DataFrame:
-    """``word``, ``close``: the known word with the best matching-blocks ratio of at least ``cutoff``; the greatest string on ties.
+#: Words of so many letters at most meet on what is left of them, longer ones on letter pairs.
+SHORT_WORD = 13
+
+
+def least_matched(letters: int, cutoff: float) -> int:
+    """The fewest matched letters with which two words of ``letters`` letters together reach ``cutoff``."""
+    m = int(cutoff * letters / 2)
+    while m and 2.0 * (m - 1) / letters >= cutoff:
+        m -= 1
+    while 2.0 * m / letters < cutoff:
+        m += 1
+    return m
+
+
+def remainders(word: str, cutoff: float, asked: bool) -> Iterator[str]:
+    """What two short words must share to reach ``cutoff``: for every length of the other word, all that can be left of ``word``
+    when it has lost the letters it may lose."""
+    n = len(word)
+    for other in range(1, SHORT_WORD + 1):
+        left = least_matched(n + other, cutoff)
+        if left <= min(n, other):
+            lengths = f"{n} {other} " if asked else f"{other} {n} "
+            yield from {lengths + "".join(kept) for kept in itertools.combinations(word, left)}
+
 
-    Two words with ratio r share many letters; candidates meet on length band and on
-    shared letter pairs, which every pair of such a ratio and three or more letters has,
-    except for the shortest, which meet on their letters alone.
+def _at_work(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by ``key`` in as many tasks as a shuffle has, at least one a core: its rows cost Python far more to work on than to move."""
+    spark = df.sparkSession
+    ship(spark)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def meeting_words(words: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame:
+    """``word``, ``close``: pairs of different words, once each; all those with a matching-blocks ratio of at least ``cutoff`` are among them.
+
+    Matching blocks are a common subsequence, and the ratio and both lengths say how long
+    it is at least. Words of up to SHORT_WORD letters meet on such a remainder, which few
+    words share however large the vocabulary. Pairs with a longer word meet on letter
+    pairs (ends of words included) and must share as many as the ratio leaves whole: each
+    unmatched letter parts one pair of matched neighbours.
     """
-    def grams(c: str):
+    bound = cutoff / (2 - cutoff)  # ratio = 2m/(a+b) >= c bounds the lengths: min/max >= c/(2-c)
+    asked = checkpointed(words.select("word").distinct().where("word <> ''"))
+    known = checkpointed(vocabulary.select(F.col("word").alias("close")).distinct().where("close <> ''"))
+
+    def left_of(df: DataFrame, c: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), 1000):
+                    out = [(w, k) for w in b[c].iloc[at : at + 1000] for k in remainders(w, cutoff, c == "word")]
+                    yield pd.DataFrame(out, columns=[c, "k"])
+
+        short = _at_work(df.where(F.length(c) <= SHORT_WORD), c)
+        return short.mapInPandas(frames(run), f"{c} string, k string").select(c, F.xxhash64("k").alias("k"))
+
+    def grams(df: DataFrame, c: str, least: float) -> DataFrame:
+        """``g``: letter pairs, each with its number among equal ones, so that common ones count as often as both words have them."""
         text = F.concat(F.lit("^"), F.col(c), F.lit("$"))
-        two = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-        return F.array_union(F.array_distinct(two), F.when(F.length(c) < 6, F.array_distinct(F.split(F.col(c), ""))).otherwise(F.array().cast("array<string>")))
+        pair = lambda i: F.substring(text, i, F.lit(2))
+        each = df.where(F.length(c) >= least).select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - 1), pair)).alias("g"))
+        counted = each.groupBy(c, "g").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        return counted.select(c, "g", F.explode(F.sequence(F.lit(1), "n")).alias("n"))
+
+    la, lb = F.length("word"), F.length("close")
+    near = left_of(asked, "word").join(left_of(known, "close"), "k").select("word", "close")
+    least = math.ceil(bound * (SHORT_WORD + 1) - 1e-9)
+    a, k = grams(asked, "word", least), grams(known, "close", least)
+    long_a, long_k = F.length("word") > SHORT_WORD, F.length("close") > SHORT_WORD
+    met = reduce(DataFrame.unionByName, (x.join(y, ["g", "n"]) for x, y in ((a.where(long_a), k), (a.where(~long_a), k.where(long_k)))))
+    met = met.where(F.least(la, lb) >= bound * F.greatest(la, lb) - 1e-9).groupBy("word", "close").agg(F.count(F.lit(1)).alias("shared"))
+    # of m matched letters and both ends, m + 1 pairs of neighbours, less one for each of the a + b - 2m others
+    whole = met.where(F.col("shared") >= 3 * F.ceil((la + lb) * (cutoff / 2) - 1e-9) + 1 - (la + lb)).select("word", "close")
+    return _at_work(near.unionByName(whole).where("word <> close"), "word").distinct()
 
-    asked = words.select("word").distinct().where("word <> ''").select("word", F.explode(grams("word")).alias("g"))
-    known = vocabulary.select(F.col("word").alias("close")).distinct().where("close <> ''").select("close", F.explode(grams("close")).alias("g"))
-    # ratio = 2m/(a+b) >= c bounds the lengths: min/max >= c/(2-c)
-    bound = cutoff / (2 - cutoff)
-    size = lambda c: F.length(c).cast("double")
-    met = asked.join(known, "g").where((F.least(size("word"), size("close")) >= bound * F.greatest(size("word"), size("close"))) & (F.col("word") != F.col("close"))).select("word", "close").distinct()
+
+def closest_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.78) -> DataFrame:
+    """``word``, ``close``: the known word with the best matching-blocks ratio of at least ``cutoff``; the greatest string on ties."""
+    pairs = meeting_words(words, vocabulary, cutoff).sortWithinPartitions("word")
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, last = difflib.SequenceMatcher(), None
         for b in batches:
-            m = difflib.SequenceMatcher()
             out = []
             for w, c in zip(b["word"], b["close"], strict=True):
-                m.set_seqs(c, w)
-                if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and (r := m.ratio()) >= cutoff:
+                if w != last:
+                    m.set_seq2(w)
+                    last = w
+                m.set_seq1(c)
+                if (len(w) + len(c) <= 2 * SHORT_WORD or m.quick_ratio() >= cutoff) and (r := m.ratio()) >= cutoff:
                     out.append((w, c, r))
             yield pd.DataFrame(out, columns=["word", "close", "ratio"])
 
-    rated = spread(met).mapInPandas(frames(rate), "word string, close string, ratio double")
+    rated = pairs.mapInPandas(frames(rate), "word string, close string, ratio double")
     return rated.groupBy("word").agg(F.max_by("close", F.struct("ratio", "close")).alias("close"))
 
 

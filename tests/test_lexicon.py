@@ -45,6 +45,32 @@ def test_closest_words_against_every_pair(spark):
     assert got == want
 
 
+def test_closest_words_of_any_length(spark):
+    rng = random.Random(4)
+
+    def changed(w):
+        letters = list(w)
+        for _ in range(rng.randint(1, 5)):
+            i = rng.randrange(len(letters))
+            letters[i : i + 1] = rng.choice(([], [rng.choice("abc")], [letters[i], rng.choice("abc")]))
+            letters = letters or ["a"]
+        return "".join(letters)
+
+    known = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(9, 30))) for _ in range(60)} | {"ab" * 130, "a" * 14})
+    asked = sorted({changed(k) for k in known for _ in range(5)} - set(known))
+    got = {r["word"]: r["close"] for r in L.closest_words(frame(spark, [(a,) for a in asked], "word string"), frame(spark, [(k,) for k in known], "word string")).collect()}
+    want = {a: m[0] for a in asked if (m := difflib.get_close_matches(a, known, 1, 0.78))}
+    assert len(want) > 100 and got == want
+
+
+def test_words_of_few_syllables_do_not_all_meet(spark):
+    syllables = [c + v for c in "bdfgklmnprtv" for v in "aeiou"]
+    rng = random.Random(5)
+    asked, known = ([("".join(rng.choice(syllables) for _ in range(4)),) for _ in range(n)] for n in (1500, 600))
+    met = L.meeting_words(frame(spark, asked, "word string"), frame(spark, known, "word string"), 0.78)
+    assert met.count() < 0.01 * len(asked) * len(known)
+
+
 def test_unknown_word_score(spark):
     known = frame(spark, [(w,) for w in ("fake", "noodle", "pasta", "impasto")], "word string")
     s = frame(spark, [(1, "A fake noodle is an impasta"), (2, None), (3, "the of")], "k bigint, t string")
