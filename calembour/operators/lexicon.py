@@ -254,8 +254,9 @@ def unknown_word_puns(sentences: DataFrame, vocabulary: DataFrame, key: str, tex
     Unknown words score by repetition, length, a close known word and a known word
     inside; the best score wins, then the more frequent, then the lesser word.
     """
+    vocabulary = checkpointed(vocabulary.select("word").distinct())
     counts = token_counts(sentences, key, text)
-    strange = checkpointed(counts.join(vocabulary.select("word").distinct(), "word", "left_anti"))
+    strange = checkpointed(counts.join(vocabulary, "word", "left_anti"))
     extra = strange.select("word").distinct()
     seen = strange.join(closest_words(extra, vocabulary), "word", "left").join(longest_subword(extra, vocabulary), "word", "left")
     meanings = F.array_compact(F.array(F.col("close"), F.when(F.coalesce(F.col("sub") != F.col("close"), F.col("sub").isNotNull()), F.col("sub"))))
