@@ -11,13 +11,17 @@ from __future__ import annotations
 import difflib
 import itertools
 import math
+import operator
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calembour.functions import text as T
 from calembour.functions.text import content_tokens
 from calembour.functions.vectors import capped_score
 from calembour.operators.layout import frames
@@ -26,6 +30,14 @@ from calembour.session import checkpointed, ship
 
 LEAST_SIMILARITY = 0.25
 MOST_HOMOPHONES = 30
+#: A lookup table of so many rows at most is sent to all tasks.
+SENT_ROWS = 20_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` worked out once; sent to all tasks where its rows were counted to be few enough."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
 def phonetic_index(lexicon: DataFrame) -> DataFrame:
@@ -35,20 +47,32 @@ def phonetic_index(lexicon: DataFrame) -> DataFrame:
     return first.groupBy("phon").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda r: r["word"]).alias("words"))
 
 
-def homophones(lexicon: DataFrame, limit: int = MOST_HOMOPHONES) -> DataFrame:
-    """``word``, ``homophone``, ``rank``: other words with the sound of the word's last entry, ``limit`` at most, in stored order.
+def sounds(lexicon: DataFrame, limit: int = MOST_HOMOPHONES) -> tuple[DataFrame, DataFrame]:
+    """``word``, ``phon``, ``at`` and ``phon``, ``homophone``, ``pos``: the sound of each word's last entry, and the words that a sound offers.
 
     A word only ever needs the first limit + 1 words of its sound, so each sound keeps
-    that many before the join; a sound shared by a third of the lexicon makes limit + 1
-    rows, not a square.
+    that many, numbered in stored order; ``at`` is the word's own number, if it is among
+    them. A sound shared by a third of the lexicon makes limit + 1 rows, not a square.
     """
     rows = lexicon.select(F.lower(F.trim("word")).alias("word"), F.trim("phon").alias("phon"), "ord").where("word <> '' AND phon <> ''")
     sound = rows.groupBy("word").agg(F.max_by("phon", "ord").alias("phon"))
     first = rows.groupBy("phon", "word").agg(F.min("ord").alias("ord"))
-    offered = per_key_limit(first, ["phon"], [F.col("ord"), F.col("word")], limit + 1).select("phon", F.col("word").alias("homophone"), "ord")
-    met = sound.join(offered, "phon").where("word <> homophone")
-    w = Window.partitionBy("word").orderBy("ord", "homophone")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("word", "homophone", "rank")
+    w = Window.partitionBy("phon").orderBy("ord", "word")
+    offered = first.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit + 1).select("phon", F.col("word").alias("homophone"), "pos")
+    own = offered.select("phon", F.col("homophone").alias("word"), F.col("pos").alias("at"))
+    return sound.join(own, ["phon", "word"], "left").select("word", "phon", "at"), offered
+
+
+def homophone_rank() -> Column:
+    """The number of ``homophone`` among the other words of the sound: ``pos``, less one behind the word itself."""
+    return F.col("pos") - F.coalesce((F.col("at") < F.col("pos")).cast("int"), F.lit(0))
+
+
+def homophones(lexicon: DataFrame, limit: int = MOST_HOMOPHONES) -> DataFrame:
+    """``word``, ``homophone``, ``rank``: other words with the sound of the word's last entry, ``limit`` at most, in stored order."""
+    sound, offered = sounds(lexicon, limit)
+    met = sound.join(offered, "phon").where("word <> homophone").withColumn("rank", homophone_rank())
+    return met.where(F.col("rank") <= limit).select("word", "homophone", "rank")
 
 
 def relatedness(pairs: DataFrame, related: DataFrame) -> DataFrame:
@@ -61,6 +85,14 @@ def relatedness(pairs: DataFrame, related: DataFrame) -> DataFrame:
     return both.withColumn("score", capped_score(F.col("a"), F.col("b"), best)).drop("ab", "ba")
 
 
+def close_terms(related: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``score``: all pairs of different words whose relatedness is at least LEAST_SIMILARITY, in either direction."""
+    ab = related.select(F.col("word").alias("a"), F.col("term").alias("b"), "weight")
+    both = ab.unionByName(ab.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    rated = both.where(T.key_form(F.col("a")) != T.key_form(F.col("b"))).select("a", "b", capped_score(F.col("a"), F.col("b"), F.col("weight")).alias("score"))
+    return rated.where(F.col("score") >= LEAST_SIMILARITY)
+
+
 def translate(df: DataFrame, dictionary: DataFrame, column: str, to: str, order: str) -> DataFrame:
     """Each translation of ``column`` in ``to``, its rank in ``order``; a word without one, or a blank one, stays as it is."""
     entries = dictionary.select(F.lower(F.trim("en")).alias("__en"), F.lower("fr").alias(to), F.col("ord").alias(order))
@@ -81,23 +113,43 @@ def polygons(seeds: DataFrame, dictionary: DataFrame, lexicon: DataFrame, relate
     chains of related words and homophones. The first hit in the order of the chain's
     steps counts; without one ``fallback`` is the first translation of m1.
     """
-    sounds = checkpointed(homophones(lexicon))
-    t1 = checkpointed(translate(seeds, dictionary, "m1", "t1", "o1"))
-    t2 = checkpointed(translate(seeds.select("id", "m2"), dictionary, "m2", "t2", "o2").select("id", "t2", "o2"))
+    dictionary, related, synonyms = sized(dictionary), sized(related), sized(synonyms)
+    # the answer depends on the meanings only: each pair of them is solved once, however many seeds have it
+    asked = checkpointed(seeds.select("m1", "m2").distinct().withColumn("id", F.monotonically_increasing_id()))
+    sound, offered = map(checkpointed, sounds(lexicon))
+    close = sized(close_terms(related))
+    t1 = checkpointed(translate(asked.select("id", "m1"), dictionary, "m1", "t1", "o1"))
+    t2 = checkpointed(translate(asked.select("id", "m2"), dictionary, "m2", "t2", "o2").select("id", "t2", "o2"))
+    same = t2.select("id", T.key_form(F.col("t2")).alias("end"), "o2", F.lit(1.0).alias("score")).where("end <> ''")
 
     def hop(df: DataFrame, column: str, to: str, most: int) -> DataFrame:
-        h = sounds.where(F.col("rank") <= most).select(F.col("word").alias(column), F.col("homophone").alias(to), F.col("rank").alias(f"o_{to}"))
-        return df.join(h, column)
+        met = df.join(sound.withColumnRenamed("word", column), column).join(offered.where(F.col("pos") <= most + 1), "phon").where(F.col(column) != F.col("homophone"))
+        ranked = met.withColumn(f"o_{to}", homophone_rank()).where(F.col(f"o_{to}") <= most)
+        return ranked.withColumnRenamed("homophone", to).drop("phon", "at", "pos")
 
     def relate(df: DataFrame, column: str, to: str, least: float, most: int) -> DataFrame:
         r = _strong(related, least, most)
         return df.join(r.select(F.col("word").alias(column), F.col("term").alias(to), F.col("term_ord").alias(f"o_{to}")), column)
 
-    def solve(chain: DataFrame, end: str, pun: str, level: int, factor: float, order: list[str]) -> DataFrame:
-        scored = relatedness(chain.join(t2, "id").withColumns({"a": F.col(end), "b": F.col("t2")}), related).where(F.col("score") >= LEAST_SIMILARITY)
+    def best(scored: DataFrame, pun: str, level: int, factor: float, order: list[str]) -> DataFrame:
         first = scored.groupBy("id").agg(F.min(F.struct(*order, "o2", F.col(pun).alias("pun"), F.col("score").alias("score"))).alias("hit"))
         return first.select("id", F.lit(level).alias("level"), F.col("hit.pun").alias("pun"), (F.col("hit.score") * factor).alias("confidence"))
 
+    def solve(chain: DataFrame, end: str, pun: str, level: int, factor: float, order: list[str]) -> DataFrame:
+        """Chains whose ``end`` is the second meaning or related to it; only such pairs are ever built."""
+        columns = ["id", *order, pun, "o2", "score"]
+        equal = chain.withColumn("end", T.key_form(F.col(end))).join(same, ["id", "end"]).select(columns)
+        near = chain.join(close.withColumnsRenamed({"a": end, "b": "t2"}), end).join(t2, ["id", "t2"]).select(columns)
+        return best(equal.unionByName(near), pun, level, factor, order)
+
+    def sounding(chain: DataFrame, column: str, level: int, factor: float, order: list[str]) -> DataFrame:
+        """As ``solve`` where the end is a homophone ``h`` of ``column``: asked from the second meaning, which has few relatives, not from all homophones."""
+        near = t2.join(close.select(F.col("a").alias("end"), F.col("b").alias("t2"), "score"), "t2").select("id", "end", "o2", "score")
+        ends = chain.join(same.unionByName(near), "id").where(F.col(column) != F.col("end"))
+        met = ends.join(sound.withColumnRenamed("word", column), column).join(offered.withColumnRenamed("homophone", "end"), ["phon", "end"])
+        ranked = met.withColumns({"o_h": homophone_rank(), "h": F.col("end")}).where(F.col("o_h") <= MOST_HOMOPHONES)
+        return best(ranked, "h", level, factor, order)
+
     def square(open_: DataFrame) -> DataFrame:
         both = open_.join(t2, "id").where("t1 = t2").groupBy("id").agg(F.min(F.struct("o1", "o2", "t1")).alias("hit"))
         return both.select("id", F.lit(4).alias("level"), F.col("hit.t1").alias("pun"), F.lit(1.0).alias("confidence"))
@@ -107,7 +159,7 @@ def polygons(seeds: DataFrame, dictionary: DataFrame, lexicon: DataFrame, relate
         more = synonyms.select("word", "synonym").where("synonym <> word").distinct()
         every = base.select("id", F.col("word").alias("syn"), F.lit(0).alias("kind")).unionByName(base.join(more, "word").select("id", F.col("synonym").alias("syn"), F.lit(1).alias("kind")))
         kept = per_key_limit(every, ["id"], [F.col("kind"), F.col("syn")], 12)
-        return solve(hop(translate(kept, dictionary, "syn", "fr", "o_fr"), "fr", "h", MOST_HOMOPHONES), "h", "h", 6, 1.0, ["kind", "syn", "o_fr", "o_h"])
+        return sounding(translate(kept, dictionary, "syn", "fr", "o_fr"), "fr", 6, 1.0, ["kind", "syn", "o_fr", "o_h"])
 
     def heptagon(open_: DataFrame) -> DataFrame:
         few = per_key_limit(open_, ["id"], [F.col("o1")], 3)
@@ -118,7 +170,7 @@ def polygons(seeds: DataFrame, dictionary: DataFrame, lexicon: DataFrame, relate
         chain = hop(relate(hop(relate(few, "t1", "s", 4.0, 5), "s", "h", 5), "h", "r", 4.0, 5), "r", "g", 5)
         return solve(chain, "g", "g", 8, 0.6, ["o1", "o_s", "o_h", "o_r", "o_g"])
 
-    steps = {4: square, 5: lambda o: solve(hop(o, "t1", "h", MOST_HOMOPHONES), "h", "h", 5, 1.0, ["o1", "o_h"]), 6: hexagon, 7: heptagon, 8: octagon}
+    steps = {4: square, 5: lambda o: sounding(o, "t1", 5, 1.0, ["o1", "o_h"]), 6: hexagon, 7: heptagon, 8: octagon}
     solved: list[DataFrame] = []
     open_ = t1
     for level in range(4, min(highest, 8) + 1):
@@ -127,7 +179,9 @@ def polygons(seeds: DataFrame, dictionary: DataFrame, lexicon: DataFrame, relate
         open_ = open_.join(now.select("id"), "id", "left_anti")
     hits = reduce(DataFrame.unionByName, solved)
     literal = t1.groupBy("id").agg(F.min_by("t1", "o1").alias("literal"))
-    return literal.join(hits, "id", "left").select("id", "level", "pun", "confidence", F.when(F.col("level").isNull(), F.col("literal")).alias("fallback"))
+    solved_once = asked.join(literal.join(hits, "id", "left"), "id").drop("id").withColumnsRenamed({"m1": "a", "m2": "b"})
+    found = seeds.join(solved_once, F.col("m1").eqNullSafe(F.col("a")) & F.col("m2").eqNullSafe(F.col("b")))
+    return found.select("id", "level", "pun", "confidence", F.when(F.col("level").isNull(), F.col("literal")).alias("fallback"))
 
 
 def longest_subword(words: DataFrame, vocabulary: DataFrame, least: int = 4) -> DataFrame:
@@ -161,15 +215,43 @@ def least_matched(letters: int, cutoff: float) -> int:
     return m
 
 
-def remainders(word: str, cutoff: float, asked: bool) -> Iterator[str]:
-    """What two short words must share to reach ``cutoff``: for every length of the other word, all that can be left of ``word``
-    when it has lost the letters it may lose."""
-    n = len(word)
-    for other in range(1, SHORT_WORD + 1):
-        left = least_matched(n + other, cutoff)
-        if left <= min(n, other):
-            lengths = f"{n} {other} " if asked else f"{other} {n} "
-            yield from {lengths + "".join(kept) for kept in itertools.combinations(word, left)}
+@lru_cache(maxsize=None)
+def _kept(letters: int, left: int) -> np.ndarray:
+    """The places that ``left`` of so many letters can have, one choice a row."""
+    return np.array(list(itertools.combinations(range(letters), left)), dtype=np.intp).reshape(-1, left)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def remainders(words: list[str], cutoff: float, asked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What short words must share to reach ``cutoff``: for every length of the other word, all that can be left of a word when it
+    has lost the letters it may lose. Numbers of the words in ``words``, and the remainders as 64-bit numbers.
+
+    All words of one length are worked on together.
+    """
+    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(lengths[(lengths > 0) & (lengths <= SHORT_WORD)]).tolist():
+        rows = np.flatnonzero(lengths == n)
+        letters = np.frombuffer("".join(words[i] for i in rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+        for other in range(1, SHORT_WORD + 1):
+            left = least_matched(n + other, cutoff)
+            if left > min(n, other):
+                continue
+            kept = _kept(n, left)
+            h = _mixed(np.full((len(rows), len(kept)), 100 * n + other if asked else 100 * other + n, np.uint64))
+            for j in range(left):
+                h = _mixed(h + letters[:, kept[:, j]])
+            # a doubled letter leaves the same remainder twice
+            h.sort(axis=1)
+            once = np.ones(h.shape, bool)
+            once[:, 1:] = h[:, 1:] != h[:, :-1]
+            at.append(np.repeat(rows, len(kept))[once.ravel()])
+            keys.append(h[once])
+    return np.concatenate(at), np.concatenate(keys)
 
 
 def _at_work(df: DataFrame, key: str) -> DataFrame:
@@ -193,14 +275,14 @@ def meeting_words(words: DataFrame, vocabulary: DataFrame, cutoff: float) -> Dat
     known = checkpointed(vocabulary.select(F.col("word").alias("close")).distinct().where("close <> ''"))
 
     def left_of(df: DataFrame, c: str) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, len(b), 1000):
-                    out = [(w, k) for w in b[c].iloc[at : at + 1000] for k in remainders(w, cutoff, c == "word")]
-                    yield pd.DataFrame(out, columns=[c, "k"])
+                    part = b.column(0).slice(at, 1000)
+                    rows, keys = remainders(part.to_pylist(), cutoff, c == "word")
+                    yield pa.RecordBatch.from_arrays([part.take(pa.array(rows)), pa.array(keys.view(np.int64))], [c, "k"])
 
-        short = _at_work(df.where(F.length(c) <= SHORT_WORD), c)
-        return short.mapInPandas(frames(run), f"{c} string, k string").select(c, F.xxhash64("k").alias("k"))
+        return _at_work(df.where(F.length(c) <= SHORT_WORD), c).mapInArrow(run, f"{c} string, k bigint")
 
     def grams(df: DataFrame, c: str, least: float) -> DataFrame:
         """``g``: letter pairs, each with its number among equal ones, so that common ones count as often as both words have them."""
@@ -222,21 +304,31 @@ def meeting_words(words: DataFrame, vocabulary: DataFrame, cutoff: float) -> Dat
     return _at_work(near.unionByName(whole).where("word <> close"), "word").distinct()
 
 
+def most_ratio(a: int, b: int) -> float:
+    """The greatest matching-blocks ratio of two different words of ``a`` and ``b`` letters."""
+    return 2.0 * min(a, b, max(a, b) - 1) / (a + b)
+
+
 def closest_words(words: DataFrame, vocabulary: DataFrame, cutoff: float = 0.78) -> DataFrame:
     """``word``, ``close``: the known word with the best matching-blocks ratio of at least ``cutoff``; the greatest string on ties."""
     pairs = meeting_words(words, vocabulary, cutoff).sortWithinPartitions("word")
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, last = difflib.SequenceMatcher(), None
+        m = difflib.SequenceMatcher()
         for b in batches:
             out = []
-            for w, c in zip(b["word"], b["close"], strict=True):
-                if w != last:
-                    m.set_seq2(w)
-                    last = w
-                m.set_seq1(c)
-                if (len(w) + len(c) <= 2 * SHORT_WORD or m.quick_ratio() >= cutoff) and (r := m.ratio()) >= cutoff:
-                    out.append((w, c, r))
+            for w, met in itertools.groupby(zip(b["word"], b["close"], strict=True), operator.itemgetter(0)):
+                m.set_seq2(w)
+                best: tuple[float, str] = (cutoff, "")
+                # the likeliest by length first: the others mostly can't be better then
+                for most, c in sorted(((most_ratio(len(w), len(c)), c) for _, c in met), reverse=True):
+                    if (most, c) < best:
+                        break
+                    m.set_seq1(c)
+                    if len(w) + len(c) <= 2 * SHORT_WORD or m.quick_ratio() >= best[0]:
+                        best = max(best, (m.ratio(), c))
+                if best[1]:
+                    out.append((w, best[1], best[0]))
             yield pd.DataFrame(out, columns=["word", "close", "ratio"])
 
     rated = pairs.mapInPandas(frames(rate), "word string, close string, ratio double")
@@ -300,10 +392,8 @@ def detected_puns(sentences: DataFrame, vocabulary: DataFrame, senses: DataFrame
 
 def rewritten(sentences: DataFrame, dictionary: DataFrame, key: str, text: str, word: str, pun: str) -> DataFrame:
     """``key``, ``sentence``: word by word, ``word`` replaced by ``pun``, the others by their first translation."""
-    from calembour.functions.text import bare_word, words
-
-    parts = sentences.select(key, F.lower(word).alias("__w"), F.col(pun).alias("__p"), F.posexplode(words(F.col(text))).alias("i", "raw"))
-    bare = parts.withColumn("bare", bare_word(F.lower("raw")))
-    first = dictionary.groupBy(F.lower(F.trim("en")).alias("bare")).agg(F.min_by("fr", "ord").alias("fr"))
+    parts = sentences.select(key, F.lower(word).alias("__w"), F.col(pun).alias("__p"), F.posexplode(T.words(T.marked_bare(F.lower(text)))).alias("i", "raw"))
+    bare = parts.withColumn("bare", F.replace("raw", F.lit(T.MARK), F.lit("")))
+    first = sized(dictionary.groupBy(F.lower(F.trim("en")).alias("bare")).agg(F.min_by("fr", "ord").alias("fr")))
     done = bare.join(first, "bare", "left").withColumn("out", F.when(F.col("bare") == F.col("__w"), F.col("__p")).otherwise(F.coalesce("fr", "bare")))
     return done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "out"))), lambda r: r["out"]), " ").alias("sentence"))

@@ -131,8 +131,9 @@ def translated_puns(spark, sf_dir):
     """Detection, cascade and rewriting of every joke, word by word where there is no pun."""
     q = lexicon_queries
     senses, far = q.sense_distances(spark, sf_dir)
-    synonyms = q.shared_translations(q._dictionary(spark, sf_dir))
-    return pipelines.translate_puns(q._sentences(spark, sf_dir), "ord", "text_clean", q._vocabulary(spark, sf_dir), senses, far, q._dictionary(spark, sf_dir), q._lexicon(spark, sf_dir), q._related(spark, sf_dir), synonyms)
+    dictionary = checkpointed(q._dictionary(spark, sf_dir))
+    synonyms = q.shared_translations(dictionary)
+    return pipelines.translate_puns(q._sentences(spark, sf_dir), "ord", "text_clean", q._vocabulary(spark, sf_dir), senses, far, dictionary, checkpointed(q._lexicon(spark, sf_dir)), q._related(spark, sf_dir), synonyms)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

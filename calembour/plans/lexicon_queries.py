@@ -13,7 +13,7 @@ from calembour.functions import text as T
 from calembour.functions import vectors as V
 from calembour.operators import lexicon, metrics, providers, relational, vector_search
 from calembour.plans import pipelines
-from calembour.session import ensure_checkpoint_dir
+from calembour.session import checkpointed, ensure_checkpoint_dir
 from calembour.sources import files
 from calembour.streaming import stages
 
@@ -222,9 +222,13 @@ def sound_vectors(spark, sf_dir):
 def _lexicon(spark, sf_dir):
     """Words of the French texts with their consonants as sound, in the order of first occurrence."""
     tokens = table(spark, sf_dir, "translation_fr").select("ord", F.posexplode(T.tokens(F.col("text_fr"))).alias("i", "word")).where(F.length("word") >= 3)
-    first = tokens.groupBy("word").agg(F.min(F.struct("ord", "i")).alias("at"))
+    # the first place as one number: aggregates of structs sort all their rows
+    wide = F.lit(2**31).cast("decimal(11,0)")
+    first = tokens.groupBy("word").agg(F.min(F.col("ord").cast("decimal(20,0)") * wide + F.col("i").cast("decimal(10,0)")).alias("at"))
     sound = F.regexp_replace("word", "[aeiouy']", "")
-    return first.select("word", sound.alias("phon"), (F.col("at.ord") * 1000 + F.col("at.i")).alias("ord")).where(F.length("phon") >= 2)
+    at_ord = F.floor(F.col("at") / wide)
+    i = F.col("at") - at_ord * wide
+    return first.select("word", sound.alias("phon"), (at_ord.cast("bigint") * 1000 + i.cast("bigint")).alias("ord")).where(F.length("phon") >= 2)
 
 
 _LEXICON = """
@@ -383,7 +387,7 @@ def sense_distances(spark, sf_dir):
     """The first ten senses of each pun word (the meanings noted for it), and how far the senses of a word are apart."""
     noted = table(spark, sf_dir, "translated").select(F.lower("pun_word").alias("word"), "rec_id", F.explode(F.array("first_meaning", "second_meaning")).alias("label")).where("label <> ''")
     senses = noted.groupBy("word", "label").agg(F.min("rec_id").alias("ord")).withColumn("sense", F.concat_ws(".", "word", "label"))
-    ten = relational.per_key_limit(senses, ["word"], [F.col("ord"), F.col("label")], 10)
+    ten = checkpointed(relational.per_key_limit(senses, ["word"], [F.col("ord"), F.col("label")], 10))
     a, b = ten.select("word", F.col("sense").alias("s1"), F.col("label").alias("l1")), ten.select("word", F.col("sense").alias("s2"), F.col("label").alias("l2"))
     return ten, a.join(b, "word").where("s1 <> s2").select("s1", "s2", F.levenshtein("l1", "l2").alias("d"))
 

@@ -106,3 +106,45 @@ def test_rewriting(spark):
     from pyspark.sql import functions as F
 
     assert L.rewritten(s, d, "k", "t", F.col("w"), "p").first()["sentence"] == "the banque encore"
+
+
+def test_rewriting_keeps_words_of_marks_only_and_every_kind_of_blank(spark):
+    from pyspark.sql import functions as F
+
+    s = frame(spark, [(1, "«Été»\u00a0— d'Or?!\u2003x_1\x1c(\u0130)\0", "", "")], "k bigint, t string, w string, p string")
+    d = frame(spark, [("été", "summer", 0)], "en string, fr string, ord bigint")
+    assert L.rewritten(s, d, "k", "t", F.lit("none"), "p").first()["sentence"] == "summer  d'or x_1 i"
+
+
+def test_the_cascade_solves_each_pair_of_meanings_once_and_pairs_no_homophones(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(L, "checkpointed", lambda df, keep=L.checkpointed: (built.append((done := keep(df)).count()), done)[1])
+    dictionary = frame(spark, [("worm", "w0", 0), ("glass", "W59 ", 0)], "en string, fr string, ord bigint")
+    lex = frame(spark, [(f"w{i}", "p", 0 if i == 59 else i + 1) for i in range(60)], "word string, phon string, ord bigint")
+    related = frame(spark, [("w3", "far", 2.5, 0), ("w4", "close", 40.0, 0), ("weak", "w2", 2.4, 0)], "word string, term string, weight double, ord int")
+    seeds = frame(spark, [(i, "Worm", "glass") for i in range(300)] + [(300, "worm", "far"), (301, "worm", "close"), (302, "worm", "weak"), (303, None, None)], "id bigint, m1 string, m2 string")
+    got = {r["id"]: (r["level"], r["pun"], r["confidence"], r["fallback"]) for r in L.polygons(seeds, dictionary, lex, related, frame(spark, [], "word string, synonym string")).collect()}
+    assert len(got) == 304 and {got[i] for i in range(300)} == {(5, "w59", 1.0, None)}
+    assert (got[300], got[301], got[302], got[303]) == ((5, "w3", 0.25, None), (5, "w4", 1.0, None), (None, None, None, "w0"), (None, None, None, None))
+    assert max(built) <= 60
+
+
+def test_short_words_share_a_remainder_just_when_they_can_be_close(spark):
+    rng = random.Random(3)
+    a, b = (["".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(1, 9))) for _ in range(60)] for _ in range(2))
+    (i, x), (j, y) = L.remainders(a, 0.78, True), L.remainders(b, 0.78, False)
+    assert len({*zip(i.tolist(), x.tolist())}) == len(i)
+    left, right = ([{*k[n == m].tolist()} for m in range(60)] for n, k in ((i, x), (j, y)))
+
+    def common(s, t):
+        row = [0] * (len(t) + 1)
+        for c in s:
+            out = [0]
+            for k, d in enumerate(t):
+                out.append(row[k] + 1 if c == d else max(row[k + 1], out[-1]))
+            row = out
+        return row[-1]
+
+    for m, s in enumerate(a):
+        for n, t in enumerate(b):
+            assert bool(left[m] & right[n]) == (2 * common(s, t) / (len(s) + len(t)) >= 0.78)
